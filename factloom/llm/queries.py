@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from factloom.llm._common import table
 from factloom.llm.bpe import bpe_digests
+from factloom.llm.fingerprint import fingerprints_and_edits
 from factloom.llm.quality import BOILERPLATE, SYMBOLS, Rules, quality_rules
 from factloom.llm.secrets import BASE, RULES, secret_spans
 from factloom.llm.simhash import simhash_components
+from factloom.llm.wavelet import token_files
 
 #: A public tokenizer; the path is a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -127,3 +129,14 @@ ORACLES["op3_secret_scans"] = secrets_sql()
 @query
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints_and_edits(spark, table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
