@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm._common import table
 from factloom.llm.bpe import bpe_digests
 from factloom.llm.fingerprint import fingerprints_and_edits
+from factloom.llm.html_text import extract_main_text
 from factloom.llm.quality import BOILERPLATE, SYMBOLS, Rules, quality_rules
 from factloom.llm.secrets import BASE, RULES, secret_spans
 from factloom.llm.simhash import simhash_components
@@ -140,3 +141,8 @@ def op5_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints_and_edits(spark, table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark, table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
