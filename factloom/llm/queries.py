@@ -11,6 +11,7 @@ from factloom.llm._common import table
 from factloom.llm.bpe import bpe_digests
 from factloom.llm.fingerprint import fingerprints_and_edits
 from factloom.llm.html_text import extract_main_text
+from factloom.llm.mixing import mix, mixing_sql
 from factloom.llm.quality import BOILERPLATE, SYMBOLS, Rules, quality_rules
 from factloom.llm.secrets import BASE, RULES, secret_spans
 from factloom.llm.simhash import simhash_components
@@ -146,3 +147,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark, table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op4_source_mixing"] = mixing_sql()
