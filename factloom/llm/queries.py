@@ -11,6 +11,7 @@ from factloom.llm._common import table
 from factloom.llm.bpe import bpe_digests
 from factloom.llm.fingerprint import fingerprints_and_edits
 from factloom.llm.html_text import extract_main_text
+from factloom.llm.licenses import license_scan
 from factloom.llm.mixing import mix, mixing_sql
 from factloom.llm.quality import BOILERPLATE, SYMBOLS, Rules, quality_rules
 from factloom.llm.secrets import BASE, RULES, secret_spans
@@ -155,3 +156,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_source_mixing"] = mixing_sql()
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no paths: a document's is its source, the thousands and hundreds of its id, and its id."""
+    number = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), number.cast("string"))
+    return license_scan(spark, table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
