@@ -14,6 +14,7 @@ from factloom.llm.html_text import extract_main_text
 from factloom.llm.licenses import license_scan
 from factloom.llm.mixing import mix, mixing_sql
 from factloom.llm.quality import BOILERPLATE, SYMBOLS, Rules, quality_rules
+from factloom.llm.repeats import repeated_strings
 from factloom.llm.secrets import BASE, RULES, secret_spans
 from factloom.llm.simhash import simhash_components
 from factloom.llm.wavelet import token_files
@@ -164,3 +165,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id")
     path = F.concat_ws("/", "source", F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), number.cast("string"))
     return license_scan(spark, table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
