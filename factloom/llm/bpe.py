@@ -218,12 +218,15 @@ def bpe_roundtrip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_
     return _encoded(spark, docs, tokenizer_path, id_col, text_col, False)
 
 
-def bpe_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): digests of what ``bpe_roundtrip`` returns, made where it is made."""
-    return _encoded(spark, docs, tokenizer_path, id_col, text_col, True)
+def bpe_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): digests of what ``bpe_roundtrip`` returns, made where it is made.
+
+    ``with_ids`` adds the ids themselves, as the column ids.
+    """
+    return _encoded(spark, docs, tokenizer_path, id_col, text_col, True, with_ids)
 
 
-def _encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
+def _encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, digest: bool, with_ids: bool = True) -> DataFrame:
     ship(spark)
     spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
     kept = docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text"))
@@ -236,12 +239,12 @@ def _encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col:
                 batch = whole.slice(at, 512)
                 done = (bpe.both(t.as_py()) for t in batch.column(1))
                 if digest:
-                    rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for i, d in done]
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), *[i] * with_ids) for i, d in done]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
                 else:
                     ids, texts = zip(*done)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
-    shape = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string"
+    shape = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids if digest else "ids binary, decoded string"
     return kept.mapInArrow(run, f"id {kind}, {shape}")
