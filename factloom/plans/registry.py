@@ -25,8 +25,11 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from factloom.plans import core_queries  # noqa: F401  (registers on import)
+
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    queries()
     return _ORACLES
