@@ -126,7 +126,8 @@ class Shard:
         """Occurrences of a token in positions low to high (exclusive)."""
         if token >> self.levels:
             return 0
-        a, b = self._range(token, low, self.n if high is None else high)
+        high = self.n if high is None else min(high, self.n)
+        a, b = self._range(token, min(max(low, 0), high), high)
         return b - a
 
     def locate(self, token: int, k: int) -> int:
