@@ -5,14 +5,14 @@ neighbouring pair is compatible (BPE of the joined pair gives the pair back). So
 last token that is compatible with the last token of the prefix before it. Tokens that end at a prefix come
 from an Aho-Corasick automaton over the vocabulary; the unique last token is stored for every prefix, and the
 ids are read off by following the back-pointers from the end. Normalisation and splitting into words are those
-of the tokenizer file. White space separates words before anything else, so results are kept per white-space
-chunk in a bounded cache.
+of the tokenizer file. The results of words are kept in a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -28,9 +28,9 @@ from factloom.llm._common import no_null, ship
 
 #: Stands for the end-of-word suffix; no byte-level symbol uses it.
 _END = "￿"
-_CACHED, _CACHED_CHARS = 300_000, 64
+_CACHED, _CACHED_CHARS = 1_000_000, 64
 
-#: The steps of a tokenizer file that ``_pieces`` can do for plain letters.
+#: The steps of a tokenizer file that ``_words`` can do for plain letters.
 _USUAL = [
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
     [
@@ -38,8 +38,8 @@ _USUAL = [
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 ]
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]+")
+_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
 
 
 def _byte_chars() -> list[str]:
@@ -67,20 +67,25 @@ class PrefixBPE:
         for n, pair in enumerate(model["merges"]):
             left, right = (self._inner(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self._rank[vocab[left], vocab[right]] = (n, vocab[left + right])
-        self._symbols = {t: i for t, i in vocab.items() if len(t.removesuffix(_END)) == 1}
-        self._spelling = {i: [vocab[s] for s in self._split(t)] for t, i in vocab.items() if all(s in vocab for s in self._split(t))}
         self._text_of = {i: t for t, i in model["vocab"].items()}
         self._special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self._text_of.update({i: t for t, i in self._special.items()})
         self._special_at = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
         self._automaton = ahocorasick.Automaton()
+        self._parts: dict[int, tuple[int, int, int]] = {}
         for t, i in vocab.items():
-            if i in self._spelling and self._merge(self._spelling[i]) == [i]:
-                self._automaton.add_word(t, (len(t), i))
+            symbols = self._split(t)
+            if all(s in vocab for s in symbols):
+                left, last = self._last_merge([vocab[s] for s in symbols])
+                if left == [i]:  # entries that BPE never makes of their own text stand for nothing
+                    self._automaton.add_word(t, (len(t), i))
+                    if last:
+                        self._parts[i] = last
         self._automaton.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._chunks: dict[bytes, tuple[bytes, str]] = {}
-        self._words: dict[str, list[int]] = {}
+        self._spines: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+        self._ids: dict[str, bytes] = {}
+        self._texts: dict[bytes, str] = {}
         steps = [(data.get("normalizer") or {}).get("normalizers"), (data.get("pre_tokenizer") or {}).get("pretokenizers")]
         self._usual = steps == _USUAL
 
@@ -92,24 +97,55 @@ class PrefixBPE:
         body = token.removesuffix(_END)
         return [*body[:-1], token[len(body) - 1 :]] if body else [token]
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Plain BPE on a few symbols; it only serves the compatibility test."""
-        ids = list(ids)
+    def _last_merge(self, ids: list[int]) -> tuple[list[int], tuple[int, int, int] | None]:
+        """Plain BPE on a vocabulary entry's symbols: what is left, and the last merge (rank, left, right)."""
+        ids, last = list(ids), None
         while len(ids) > 1:
             best = min(((self._rank[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self._rank), default=None)
             if best is None:
                 break
             k = best[1]
+            last = (best[0], ids[k], ids[k + 1])
             ids[k : k + 2] = [self._rank[ids[k], ids[k + 1]][1]]
-        return ids
+        return ids, last
+
+    def _spine(self, token: int, side: int) -> tuple[list[int], list[float]]:
+        """Symbols at a token's left (0) or right (1) edge from its smallest part up, and the rank that ends each."""
+        found = self._spines.get((token, side))
+        if found is None:
+            nodes, ends = [token], [math.inf]
+            while nodes[-1] in self._parts:
+                rank, *pair = self._parts[nodes[-1]]
+                nodes.append(pair[side])
+                ends.append(rank)
+            found = self._spines[token, side] = nodes[::-1], ends[::-1]
+        return found
 
     def _compatible(self, left: int, right: int) -> bool:
+        """Whether BPE of the two tokens' symbols gives the two back: no merge takes place across their border.
+
+        Merges run by rank, equal ranks from the left. At any time the border lies between the left token's last
+        symbol and the right token's first; a merge across happens if its rank comes before what ends either.
+        """
         found = self._pairs.get((left, right))
         if found is None:
-            found = self._merge(self._spelling[left] + self._spelling[right]) == [left, right]
-            if len(self._pairs) >= 1_000_000:
-                self._pairs.clear()
-            self._pairs[left, right] = found
+            a, a_ends = self._spine(left, 1)
+            b, b_ends = self._spine(right, 0)
+            i = j = 0
+            while True:
+                rank = self._rank.get((a[i], b[j]))
+                if rank is not None and rank[0] < a_ends[i] and rank[0] <= b_ends[j]:
+                    found = False
+                    break
+                if a_ends[i] == b_ends[j] == math.inf:
+                    found = True
+                    break
+                if a_ends[i] <= b_ends[j]:
+                    i += 1
+                else:
+                    j += 1
+            if len(self._pairs) < _CACHED:
+                self._pairs[left, right] = found
         return found
 
     def word(self, piece: str) -> list[int]:
@@ -136,56 +172,56 @@ class PrefixBPE:
             end -= size[end]
         return ids[::-1]
 
-    def _pieces(self, part: str) -> list[str]:
-        """Byte-level words of a text without white space, as the tokenizer's own steps split it.
+    def _keep(self, piece: str, ids: list[int]) -> bytes:
+        """The ids as bytes; kept while there is room, so that the frequent words stay."""
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self._ids) < _CACHED and len(piece) <= _CACHED_CHARS:
+            self._ids[piece] = found
+        return found
+
+    def _plain_piece(self, piece: str) -> bytes:
+        return self._keep(piece, self.word(piece if piece.isascii() else "".join([_BYTE_CHARS[b] for b in piece.encode()])))
 
-        The library's steps take longer than the encoding; letters whose lower case and class never change
-        between Unicode versions are split here by the same pattern, if the file has the usual steps.
+    def _words(self, text: str | None) -> list[bytes]:
+        """The ids of each word of a text.
+
+        Letters whose lower case and class never change between Unicode versions are lowered and split here by the
+        tokenizer's own pattern, if the file has the usual steps; other texts take the library's steps.
         """
-        if self._usual and _PLAIN.fullmatch(part):
-            found = _PLAIN_PIECES.findall(part.lower())
-            return found if part.isascii() else ["".join([_BYTE_CHARS[b] for b in x.encode()]) for x in found]
-        plain = self._tokenizer.normalizer.normalize_str(part) if self._tokenizer.normalizer else part
-        return [piece for piece, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
-
-    def _chunk(self, chunk: bytes) -> tuple[bytes, str]:
-        found = self._chunks.get(chunk)
-        if found is None:
-            ids: list[int] = []
-            text = chunk.decode()
-            for part in self._special_at.split(text) if self._special_at else [text]:
-                if part in self._special:
-                    ids.append(self._special[part])
-                elif part:
-                    for piece in self._pieces(part):
-                        word = self._words.get(piece)
-                        if word is None:
-                            word = self.word(piece)
-                            if len(piece) <= _CACHED_CHARS:
-                                if len(self._words) >= _CACHED:
-                                    self._words.clear()
-                                self._words[piece] = word
-                        ids += word
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self._text_of[i] for i in ids])
-            if len(chunk) <= _CACHED_CHARS:
-                if len(self._chunks) >= _CACHED:
-                    self._chunks.clear()
-                self._chunks[chunk] = found
+        if not text:
+            return []
+        if self._usual and "<|" not in text and _PLAIN.fullmatch(text):
+            get, make = self._ids.get, self._plain_piece
+            return [get(p) or make(p) for p in _PLAIN_PIECES.findall(text.lower())]
+        found = []
+        for part in self._special_at.split(text) if self._special_at else [text]:
+            if part in self._special:
+                found.append(struct.pack("<I", self._special[part]))
+            else:
+                # white space separates words before anything else, so chunks are independent and can be short
+                for chunk in part.encode().split():
+                    plain = self._tokenizer.normalizer.normalize_str(chunk.decode()) if self._tokenizer.normalizer else chunk.decode()
+                    found += [struct.pack(f"<{len(ids)}I", *ids) for piece, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(plain) for ids in [self.word(piece)]]
         return found
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        get, make = self._chunks.get, self._chunk
-        return b"".join([(get(c) or make(c))[0] for c in (text or "").encode().split()])
+        return b"".join(self._words(text))
 
-    def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+    def _text(self, ids: bytes) -> str:
+        found = " ".join([self._text_of[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+        if len(self._texts) < _CACHED and len(ids) <= 4 * _CACHED_CHARS:
+            self._texts[ids] = found
+        return found
 
     def both(self, text: str | None) -> tuple[bytes, str]:
         """Ids as bytes, and the decoded text."""
-        get, make = self._chunks.get, self._chunk
-        found = [get(c) or make(c) for c in (text or "").encode().split()]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+        words = self._words(text)
+        get, make = self._texts.get, self._text
+        return b"".join(words), " ".join([get(w) or make(w) for w in words])
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode without a decoder: the tokens, joined by blanks."""
