@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white-space class, for Java and RE2 alike.
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same code points as one string, for functions that take a set of characters instead of a regex.
+WS_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Line ends as str.splitlines sees them.
 LINE_END = r"\r\n|[\n\x{b}\x{c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
@@ -21,7 +23,7 @@ def _col(value: Column | str) -> Column:
 
 def compact(value: Column | str) -> Column:
     """The text without white space; NULL is the empty text."""
-    return F.regexp_replace(F.coalesce(_col(value), F.lit("")), WS, "")
+    return F.translate(F.coalesce(_col(value), F.lit("")), WS_CHARS, "")
 
 
 def normalized(value: Column | str) -> Column:
@@ -36,7 +38,7 @@ def normalize_name(value: str | None) -> str:
 
 def strip(value: Column | str) -> Column:
     """The text without white space at either end (NULL stays)."""
-    return F.regexp_replace(F.regexp_replace(_col(value), f"^{WS}+", ""), f"{WS}+$", "")
+    return F.btrim(_col(value), F.lit(WS_CHARS))
 
 
 def close(expected: Column, actual: Column, tolerance: float = 0.5) -> Column:
