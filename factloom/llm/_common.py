@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; ``clean`` removes it once no result is read any more."""
+    return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this application staged."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers that the driver's machine starts import this package.
 
@@ -43,7 +54,7 @@ def ship(spark: SparkSession) -> None:
 
 def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors."""
-    path = f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._common import no_null, shared_dir, ship
+from factloom.llm._common import no_null, run_dir, ship
 from factloom.llm.bpe import loaded, read_spec
 from factloom.llm.ordered import bucket, cuts, in_ranges
 
@@ -236,6 +236,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards (to the shared folder unless ``path`` is given) and read every document back from them."""
-    path = path or f"{shared_dir(spark)}/factloom/tokens-{uuid.uuid4().hex}"
+    path = path or f"{run_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_shards(spark, docs, path, tokenizer_path, id_col, text_col)
     return read_documents(spark, path)
