@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm._common import no_null, ship, staged
-from factloom.llm.ordered import bucket, cuts, in_ranges
+from factloom.llm.ordered import bucket, cuts, in_ranges, looked_up
 
 
 def canonical(text: str) -> bytes:
@@ -45,7 +45,7 @@ def digests(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
 
 def fingerprints_and_edits(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, copies_bucket.
+    """id (as bigint), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is that of the next id (of the first after the last); rows that share an id are in the
     order of their texts, null ids come first. near_*: 1.0 if the canonical bytes are equal, else 0.0.
@@ -64,15 +64,11 @@ def fingerprints_and_edits(spark: SparkSession, docs: DataFrame, id_col: str = "
     at = cuts(spark, first.select("id"), "id")
     placed = kept.withColumn("bucket", bucket(F.col("id"), at))
     firsts = first.select("id", bucket(F.col("id"), at).alias("bucket")).groupBy("bucket").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("nulls"))
-    lead = sorted((r["bucket"], None if r["nulls"] else r["id"]) for r in firsts.collect())  # one row for each partition
-    guests = None
-    for n, (own, head) in enumerate(lead):  # the first document of a range also closes the range before it
-        before = lead[n - 1][0]
-        same = F.col("bucket") == own
-        hit = same & (F.col("id").isNull() if head is None else F.col("id") == F.lit(head))
-        guests = F.when(hit, before) if guests is None else guests.when(hit, before)
-    if guests is None:
-        guests = F.lit(None).cast("int")
+    lead = sorted(((r["bucket"], None if r["nulls"] else r["id"]) for r in firsts.collect()), key=lambda x: x[0])  # a row for each partition
+    # the first document of a range also closes the range before it; the first of all closes the last
+    before = {head: lead[n - 1][0] for n, (_, head) in enumerate(lead)}
+    of_null = F.lit(before.pop(None)) if None in before else F.lit(None).cast("int")
+    guests = F.when(F.col("id").isNull(), of_null).otherwise(looked_up(F.col("id"), before))
     rows = placed.select("id", "text", F.col("bucket").cast("int").alias("bucket"), guests.cast("int").alias("also"))
     own = rows.select("id", "text", "bucket", F.lit(1).alias("kind"))
     guest = rows.where("also is not null").select("id", "text", F.col("also").alias("bucket"), F.lit(2).alias("kind"))

@@ -29,6 +29,22 @@ def bucket(id_column: Column, at: list[int]) -> Column:
     return search(0, len(at))
 
 
+def looked_up(id_column: Column, values: dict[int, int]) -> Column:
+    """The value of an id among a few (as many as ranges), else NULL: a search tree over constants."""
+    keys = sorted(values)
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(None).cast("int")
+        mid = (low + high) // 2
+        here = F.when(id_column == F.lit(keys[mid]), F.lit(values[keys[mid]]))
+        if high - low == 1:
+            return here
+        return here.when(id_column < F.lit(keys[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return search(0, len(keys))
+
+
 def in_ranges(df: DataFrame, at: list[int], *order: str) -> DataFrame:
     """``df`` with bucket k (its column ``bucket``) as partition k, each sorted by ``order``."""
     return df.repartitionById(len(at) + 1, F.col("bucket")).sortWithinPartitions(*order)
