@@ -10,8 +10,9 @@ leave the text:
 
 1. Runs whose anchor occurs once hold no repeated window.
 2. Runs of one anchor whose whole stretches of bytes are equal repeat each other in all their windows.
-3. Where one anchor has several different stretches, one run for each stretch writes a row for each window; windows
-   written twice or more are repeated.
+3. Where one anchor has several different stretches, one run for each is cut into blocks of 16 windows, and the
+   same two tests are made with what all windows of a block hold, and with all their bytes.
+4. In blocks that are still open, windows are compared one by one; those found twice or more are repeated.
 
 Groups are counted and joined by hashes of contents, never listed: a passage of any number of documents is one
 pre-aggregated row for each stretch inside it, and rows at its two ends. An anchor's and a stretch's (or window's)
@@ -33,6 +34,7 @@ from factloom.llm._common import no_null, ship, staged
 
 LENGTH = 400
 ANCHOR = 200
+BLOCK = 16
 _WINDOW = LENGTH - ANCHOR + 1
 _BASE = 0x9E3779B97F4A7C15
 _INDEX_BITS = 20
@@ -93,14 +95,15 @@ def runs_of(data: bytes) -> list[tuple[np.ndarray, ...]]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.xxhash64("text").alias("mark"), "text")
+    """(doc, mark, text): a document goes by the hashes of its id and its text, which are never null."""
+    return docs.select(F.xxhash64("id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
 
 
 def _slots(keys: DataFrame) -> np.ndarray:
     """A bitmap of fixed size (1 MB) of the documents in ``keys``; it may hold others, never lacks one."""
-    slot = F.pmod(F.xxhash64("id", "mark"), F.lit(_SLOTS))
+    slot = F.pmod(F.xxhash64("doc", "mark"), F.lit(_SLOTS))
     words = (
-        keys.select(F.floor(slot / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id, mark), 64) as int))").alias("bit"))
+        keys.select(F.floor(slot / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc, mark), 64) as int))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
         .collect()
@@ -112,10 +115,10 @@ def _slots(keys: DataFrame) -> np.ndarray:
 
 
 def _texts_of(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, mark, text) of the documents in ``keys`` and perhaps some more, without a shuffle."""
+    """(doc, mark, text) of the documents in ``keys`` and perhaps some more, without a shuffle."""
     bitmap = spark.sparkContext.broadcast(_slots(keys))
-    slot = F.pmod(F.xxhash64("id", "mark"), F.lit(_SLOTS))
-    marked = _texts(docs).withColumn("word", F.floor(slot / 64).cast("bigint")).withColumn("bit", F.expr("pmod(xxhash64(id, mark), 64)"))
+    slot = F.pmod(F.xxhash64("doc", "mark"), F.lit(_SLOTS))
+    marked = _texts(docs).withColumn("word", F.floor(slot / 64).cast("bigint")).withColumn("bit", F.expr("pmod(xxhash64(doc, mark), 64)"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,6 +130,34 @@ def _texts_of(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> DataFram
     return marked.mapInArrow(run, _texts(docs).schema)
 
 
+def _unpacked(batch: pa.RecordBatch, k: int) -> tuple:
+    """Text, and arrays of the open pieces of row k: anchor hash, anchor position, start's distance to it, windows - 1, open."""
+    data = memoryview(batch.column(2)[k].as_buffer().to_pybytes())
+    packed = np.asarray(batch.column(4)[k].values, np.int64)
+    return data, np.asarray(batch.column(3)[k].values, np.int64), packed >> 21, packed >> 11 & 1023, packed >> 1 & 1023, (packed & 1).astype(bool)
+
+
+def _resolved(spark: SparkSession, pieces: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What equal hulls settle, and what is left: (doc, mark, span) and (doc, mark, pieces).
+
+    A piece is a row of windows; all its windows hold its core (bytes that the columns ``core`` stand for), and its
+    hull is all their bytes. Equal windows have equal cores, so a core that occurs once settles its piece: nothing
+    is repeated. Equal hulls of equal extent settle theirs: all is. Where a core has different hulls, one piece for
+    each goes on; it is open if its own windows are still to be settled, otherwise others are compared with it.
+    """
+    hull = [*core, "hull", "a", "b"]
+    again = pieces.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core)
+    dup = staged(spark, pieces.join(again, core), "repeated-pieces")
+    groups = staged(
+        spark, dup.groupBy(*hull).agg(F.count("*").alias("n"), F.max("open").alias("any_open"), F.min(F.struct("doc", "mark", "at")).alias("first")), "hulls"
+    ).withColumn("open", F.expr("n = 1 and any_open"))
+    settled = dup.where("open").join(groups.where("n > 1").select(*hull), hull).select("doc", "mark", F.expr("shiftleft(bigint(at - a), 12) | (b + %d)" % LENGTH).alias("span"))
+    several = groups.groupBy(*core).agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 and some").select(*core)
+    packed = F.expr("shiftleft(bigint(first.at), 21) | shiftleft(bigint(a), 11) | shiftleft(bigint(b), 1) | int(open)")
+    left = groups.join(several, core).select("first.doc", "first.mark", "anchor", packed.alias("piece"))
+    return settled, staged(spark, left.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "piece")).alias("pieces")), "open-pieces")
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``.
 
@@ -136,10 +167,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     """
     ship(spark)
     kept = docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text"))
-    kind = kept.schema["id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark", "anchor", "stretch", "at", "a", "b"]
+        names = ["doc", "mark", "anchor", "hull", "at", "a", "b", "open"]
         for batch in batches:
             rows, found = [], []
             for k, text in enumerate(batch.column(2)):
@@ -149,52 +179,59 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
             if rows:
                 take = pa.array(np.concatenate(rows))
                 anchor, stretch, place, low, high = (np.concatenate(c) for c in zip(*found))
-                columns = [anchor, stretch, place.astype(np.int32), (place - low).astype(np.int16), (high - low).astype(np.int16)]
+                columns = [anchor, stretch, place.astype(np.int32), (place - low).astype(np.int16), (high - low).astype(np.int16), np.ones(len(anchor), bool)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names)
 
-    long_enough = _texts(kept.where(F.octet_length("text") >= LENGTH))
-    runs = staged(spark, long_enough.mapInArrow(find, f"id {kind}, mark bigint, anchor bigint, stretch bigint, at int, a smallint, b smallint"), "runs")
-    again = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    dup = staged(spark, runs.join(again, "anchor"), "repeated-runs")
-    groups = staged(
-        spark,
-        dup.groupBy("anchor", "stretch", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("first")),
-        "stretches",
-    )
-    # equal stretches: all their windows are repeated
-    pack = "shiftleft(bigint(at - a), 12) | (b + %d)" % LENGTH
-    whole = dup.join(groups.where("n > 1").select("anchor", "stretch", "a", "b"), ["anchor", "stretch", "a", "b"]).select("id", "mark", F.expr(pack).alias("span"))
-    # different stretches of one anchor: their windows one by one
-    several = groups.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    open_runs = groups.join(several, "anchor").select(
-        "first.id", "first.mark", "anchor", F.expr("shiftleft(bigint(first.at), 21) | shiftleft(bigint(a), 11) | shiftleft(bigint(b), 1) | int(n = 1)").alias("run")
-    )
-    todo = staged(spark, open_runs.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "run")).alias("runs")), "open-runs")
-    texts = _texts_of(spark, kept, todo.select("id", "mark")).select(F.col("id").alias("i"), F.col("mark").alias("m"), "text")
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))
-    ready = texts.join(todo, same).dropDuplicates(["i", "m"]).select("id", "mark", "text", "runs.anchor", "runs.run")
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "mark", "anchor", "core", "hull", "at", "a", "b", "open"]
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, anchors, place, a, b, solo = _unpacked(batch, k)
+                first, last = (a - b) // BLOCK, a // BLOCK
+                which = np.repeat(np.arange(len(a)), last - first + 1)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+                inner = (first[which] + step) * BLOCK  # the block's least distance to the anchor
+                far = np.minimum(a[which], inner + BLOCK - 1)
+                near = np.maximum((a - b)[which], inner)
+                at = place[which]
+                core = [digest(data[p - i : p - i - BLOCK + 1 + LENGTH]) for p, i in zip(at.tolist(), inner.tolist())]
+                hull = [digest(data[p - f : p - n + LENGTH]) for p, f, n in zip(at.tolist(), far.tolist(), near.tolist())]
+                take = pa.array(np.full(len(which), k))
+                hashes = [np.array(x, np.uint64).view(np.int64) for x in (core, hull)]
+                columns = [anchors[which], *hashes, at.astype(np.int32), far.astype(np.int16), (far - near).astype(np.int16), solo[which]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark", "anchor", "back", "start", "window", "open"]
+        names = ["doc", "mark", "anchor", "window", "start", "open"]
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for k in range(batch.num_rows):
-                data = memoryview(batch.column(2)[k].as_buffer().to_pybytes())
-                packed = np.asarray(batch.column(4)[k].values, np.int64)
-                anchors = np.asarray(batch.column(3)[k].values, np.int64)
-                place, a, b, solo = packed >> 21, packed >> 11 & 1023, packed >> 1 & 1023, packed & 1
+                data, anchors, place, a, b, solo = _unpacked(batch, k)
                 count = b + 1
-                which = np.repeat(np.arange(len(packed)), count)
+                which = np.repeat(np.arange(len(a)), count)
                 start = np.repeat(place - a, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                window = np.fromiter((digest(data[s : s + LENGTH]) for s in start.tolist()), np.uint64, len(start)).view(np.int64)
+                window = np.array([digest(data[s : s + LENGTH]) for s in start.tolist()], np.uint64).view(np.int64)
                 take = pa.array(np.full(len(start), k))
-                columns = [anchors[which], (place[which] - start).astype(np.int16), start.astype(np.int32), window, solo[which].astype(bool)]
+                columns = [anchors[which], window, start.astype(np.int32), solo[which]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names)
 
-    rows = staged(spark, ready.mapInArrow(windows, f"id {kind}, mark bigint, anchor bigint, back smallint, start int, window bigint, open boolean"), "windows")
-    twice = rows.groupBy("anchor", "back", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "back", "window")
-    single = rows.where("open").join(twice, ["anchor", "back", "window"], "left_semi").select("id", "mark", F.expr("shiftleft(bigint(start), 12) | %d" % LENGTH).alias("span"))
-    spans = staged(spark, whole.unionByName(single).groupBy("id", "mark").agg(F.collect_list("span").alias("spans")), "spans")
+    def looked_at(todo: DataFrame, by, shape: str) -> DataFrame:
+        """The open pieces, with their documents' texts, by one of the functions above."""
+        # equal rows are one here: the join and the aggregation part the texts by the same two columns, in one shuffle
+        texts = _texts_of(spark, kept, todo.select("doc", "mark"))
+        ready = texts.join(todo, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("doc", "mark", "text", "pieces.anchor", "pieces.piece")
+        return staged(spark, ready.mapInArrow(by, f"doc bigint, mark bigint, {shape}"), "pieces")
+
+    long_enough = _texts(kept.where(F.octet_length("text") >= LENGTH))
+    runs = staged(spark, long_enough.mapInArrow(find, "doc bigint, mark bigint, anchor bigint, hull bigint, at int, a smallint, b smallint, open boolean"), "runs")
+    whole, todo = _resolved(spark, runs, ["anchor"])
+    parts = looked_at(todo, blocks, "anchor bigint, core bigint, hull bigint, at int, a smallint, b smallint, open boolean")
+    more, todo = _resolved(spark, parts, ["anchor", "core"])
+    rows = looked_at(todo, windows, "anchor bigint, window bigint, start int, open boolean")
+    twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    single = rows.where("open").join(twice, ["anchor", "window"], "left_semi").select("doc", "mark", F.expr("shiftleft(bigint(start), 12) | %d" % LENGTH).alias("span"))
+    spans = staged(spark, whole.unionByName(more).unionByName(single).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +249,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
                 sha.update(data[at:])
                 done.append((int((high - low).sum()), len(low), sha.hexdigest()))
             columns = [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["i", "m", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc", "mark", "n_removed", "n_spans", "kept"])
 
-    texts = _texts_of(spark, kept, spans.select("id", "mark")).select(F.col("id").alias("i"), F.col("mark").alias("m"), "text")
-    cut = texts.join(spans, same).dropDuplicates(["i", "m"]).select("id", "mark", "text", "spans")
-    removed = cut.mapInArrow(remove, f"i {kind}, m bigint, n_removed bigint, n_spans bigint, kept string")
-    base = kept.select("id", F.xxhash64("text").alias("mark"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
+    texts = _texts_of(spark, kept, spans.select("doc", "mark"))
+    cut = texts.join(spans, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("doc", "mark", "text", "spans")
+    removed = cut.mapInArrow(remove, "doc bigint, mark bigint, n_removed bigint, n_spans bigint, kept string")
+    base = kept.select("id", F.xxhash64("id").alias("doc"), F.xxhash64("text").alias("mark"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     zero = F.lit(0).cast("bigint")
-    return base.join(removed, same, "left").select(
+    return base.join(removed, ["doc", "mark"], "left").select(
         "id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256")
     )
