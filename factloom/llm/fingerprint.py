@@ -58,7 +58,8 @@ def fingerprints_and_edits(spark: SparkSession, docs: DataFrame, id_col: str = "
     ship(spark)
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), no_null(text_col).alias("text"))
     first = staged(spark, digests(spark, kept, "id"), "digests")
-    shared = first.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # staged, so that both sides of the join are plain shuffles, which adaptive execution splits where a digest is hot
+    shared = staged(spark, first.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared")
     flags = first.join(shared, "fp").groupBy("id").agg(F.lit(True).alias("flag"))
 
     at = cuts(spark, first.select("id"), "id")
