@@ -146,7 +146,8 @@ def _resolved(spark: SparkSession, pieces: DataFrame, core: list[str]) -> tuple[
     each goes on; it is open if its own windows are still to be settled, otherwise others are compared with it.
     """
     hull = [*core, "hull", "a", "b"]
-    again = pieces.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core)
+    # staged, so that both sides of the join are plain shuffles, which adaptive execution splits where a core is hot
+    again = staged(spark, pieces.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core), "repeated-cores")
     dup = staged(spark, pieces.join(again, core), "repeated-pieces")
     groups = staged(
         spark, dup.groupBy(*hull).agg(F.count("*").alias("n"), F.max("open").alias("any_open"), F.min(F.struct("doc", "mark", "at")).alias("first")), "hulls"
