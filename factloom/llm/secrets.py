@@ -211,6 +211,41 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.select("id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
+_KEY_MARK = r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY-----"
+_KEY_HEADERS = r"^(?:\s*[A-Z][A-Za-z]*-[A-Za-z]+: [^\n]*){0,8}"
+#: Where a run of base64 lines is over: a character of neither base64 nor what parts or quotes lines, or a short word.
+_KEY_OVER = r"""[^A-Za-z0-9+/=\s"',>#*\\]|(?<![A-Za-z0-9+/=])(?![A-Za-z0-9+/=]{16})[A-Za-z0-9+/=]"""
+_KEY_REST = r"""^[A-Za-z0-9+/]+={0,2}(?=[ \t"',]*(?:[\r\n\\]|$))"""
+
+
+def key_blocks(text: Column, spans: Column) -> Column:
+    """``spans`` with those of private keys drawn out from the header to the END line, or over the base64 lines if END is missing."""
+
+    def behind(end: Column) -> Column:
+        return F.substring(text, (end + 1).cast("int"), F.length(text))
+
+    def unended(after: Column) -> Column:
+        headers = F.regexp_extract(after, _KEY_HEADERS, 0)
+
+        def run(body: Column) -> Column:
+            lines = F.get(F.split(body, _KEY_OVER, 2), F.lit(0))
+            whole = F.regexp_replace(lines, r"""[\s"',>#*\\]+$""", "")
+            rest = F.length(F.regexp_extract(F.substring(body, F.length(lines) + 1, F.length(body)), _KEY_REST, 0))
+            return F.when(F.length(whole) == 0, 0).otherwise(F.length(headers) + F.when(rest > 0, F.length(lines) + rest).otherwise(F.length(whole)))
+
+        return run(F.substring(after, F.length(headers) + 1, F.length(after)))
+
+    def length(after: Column) -> Column:
+        ended = F.regexp_extract(after, _KEY_MARK, 1) == "END"
+        upto = F.length(F.get(F.split(after, _KEY_MARK, 2), F.lit(0))) + F.length(F.regexp_extract(after, _KEY_MARK, 0))
+        return F.when(ended, upto).otherwise(unended(after)).cast("bigint")
+
+    def drawn(s: Column) -> Column:
+        return F.when(s["kind"] == "pem", s.withField("end", s["end"] + length(behind(s["end"])))).otherwise(s)
+
+    return F.when(F.exists(spans, lambda s: s["kind"] == "pem"), F.transform(spans, drawn)).otherwise(spans)
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every stretch that spans cover replaced by ``mark``; spans that overlap are one stretch."""
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
