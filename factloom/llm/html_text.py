@@ -37,6 +37,12 @@ LABELLED = (
     (1, 100, 0, 0, 1, 100, 0, 0, 0), (2, 100, 2, 100, 3, 100, 0, 0, 0), (4, 0, 2, 100, 3, 100, 0, 0, 0), (5, 80, 6, 70, 30, 0, 0, 0, 0),
     (12, 90, 10, 100, 4, 100, 0, 0, 0), (3, 0, 0, 0, 2, 100, 0, 0, 0), (6, 0, 5, 90, 0, 0, 0, 0, 0), (25, 60, 30, 70, 8, 100, 0, 0, 0),
     (8, 50, 60, 0, 4, 100, 0, 0, 0), (2, 0, 3, 0, 2, 0, 0, 0, 0), (5, 0, 4, 0, 6, 0, 0, 0, 0), (40, 70, 6, 100, 10, 100, 0, 0, 0),
+    # ends of articles, and headings and prose in them, right before a block of links
+    (120, 0, 60, 0, 1, 100, 0, 1, 1), (3, 0, 70, 0, 4, 100, 0, 1, 1), (12, 0, 90, 0, 2, 100, 0, 1, 1), (25, 0, 40, 0, 6, 100, 0, 1, 1),
+    (8, 0, 1, 100, 3, 100, 0, 1, 1), (60, 5, 30, 0, 12, 100, 0, 1, 1), (18, 0, 0, 0, 1, 100, 0, 1, 1), (300, 2, 80, 0, 5, 90, 0, 1, 1),
+    # prose outside articles, right before a menu or a pager
+    (22, 0, 50, 0, 1, 100, 0, 0, 1), (45, 0, 60, 0, 3, 100, 0, 0, 1), (120, 0, 70, 0, 1, 100, 0, 0, 1), (30, 10, 40, 0, 8, 100, 0, 0, 1),
+    (18, 0, 30, 0, 4, 100, 0, 0, 1), (70, 4, 1, 100, 2, 100, 0, 0, 1), (200, 0, 0, 0, 6, 90, 0, 0, 1), (26, 0, 90, 0, 1, 100, 0, 0, 1),
 )
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
