@@ -55,6 +55,12 @@ _FURNITURE_NAMES = frozenset(
     " masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies share sharing"
     " sidebar side-bar site-header site-footer skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that may follow a furniture name in a compound, and first words that say something else than the last one.
+_HOLDERS = frozenset("area bar block box buttons container group inner item items left links list menu nav panel right section slot unit widget wrap wrapper".split())
+_NOT_ITS_OWN = frozenset("has hide is no show toggle with without".split())
+_TITLED = frozenset("article content entry post story".split())
+#: What a page's text is in: their names say how they look, not that they are furniture.
+_NEVER_BY_NAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 _MARKUP = re.compile(
@@ -64,6 +70,16 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
 
+def _names_furniture(word: str) -> bool:
+    """A furniture name, a compound that ends in one, or one that is followed only by words for what holds it."""
+    if word in _FURNITURE_NAMES:
+        return True
+    first, *rest = [p for p in re.split("[-_]+", word) if p] or [""]
+    if not rest or first in _NOT_ITS_OWN or first in _TITLED and rest[-1] == "header":
+        return False
+    return rest[-1] in _FURNITURE_NAMES or first in _FURNITURE_NAMES and _HOLDERS.issuperset(rest)
+
+
 def _is_furniture(tag: str, attributes: str) -> bool:
     if tag in _FURNITURE:
         return True
@@ -72,7 +88,7 @@ def _is_furniture(tag: str, attributes: str) -> bool:
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and any(w in _FURNITURE_NAMES or w.split("-")[0] in _FURNITURE_NAMES or w.split("_")[0] in _FURNITURE_NAMES for w in value.split()):
+        if name in ("class", "id") and tag not in _NEVER_BY_NAME and any(map(_names_furniture, value.split())):
             return True
     return False
 
