@@ -58,18 +58,14 @@ def named_sizes(value: Column | str) -> Column:
 def size_signals(value: Column | str, tolerance: float = 0.2) -> Column:
     """struct(named, explicit, conflicts, resolved): what a line says about a font size, and whether it agrees.
 
-    conflicts: codes of several different names' sizes, several different numbers, and names against numbers.
-    resolved: the one number, else the one name's size; NULL when neither is unique.
+    explicit: the different numbers, sorted. conflicts: codes of several different names' sizes, several different
+    numbers, and names against numbers (the least of each). resolved: without a conflict the number, else the name's size.
     """
     named, explicit = named_sizes(value), explicit_points(value)
     name_pts = F.sort_array(F.array_distinct(F.transform(named, lambda x: x["pt"])))
     pts = F.sort_array(F.array_distinct(explicit))
-    many_names, many_points = F.size(name_pts) > 1, F.size(pts) > 1
-    apart = (F.size(name_pts) > 0) & (F.size(pts) > 0) & F.coalesce(F.abs(F.get(name_pts, F.lit(0)) - F.get(pts, F.lit(0))) > F.lit(float(tolerance)), F.lit(False))
-    codes = [(many_names, "several_named_sizes"), (many_points, "several_explicit_sizes"), (apart, "named_and_explicit_differ")]
-    return F.struct(
-        named.alias("named"),
-        explicit.alias("explicit"),
-        F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in codes])).alias("conflicts"),
-        F.when(F.size(pts) == 1, F.get(pts, F.lit(0))).when((F.size(pts) == 0) & (F.size(name_pts) == 1), F.get(name_pts, F.lit(0))).alias("resolved"),
-    )
+    first_name, first_point = F.get(name_pts, F.lit(0)), F.get(pts, F.lit(0))
+    apart = F.coalesce(F.abs(first_name - first_point) > F.lit(float(tolerance)), F.lit(False))
+    codes = [(F.size(name_pts) > 1, "several_named_sizes"), (F.size(pts) > 1, "several_explicit_sizes"), (apart, "named_and_explicit_differ")]
+    conflicts = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in codes]))
+    return F.struct(named.alias("named"), pts.alias("explicit"), conflicts.alias("conflicts"), F.when(F.size(conflicts) == 0, F.coalesce(first_point, first_name)).alias("resolved"))

@@ -74,8 +74,9 @@ def line_count(value: Column | str) -> Column:
 
 def lines(value: Column | str) -> Column:
     """Lines of a text, as an array in order, without their ends."""
-    parts = F.split(F.coalesce(_col(value), F.lit("")), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = F.split(F.coalesce(_col(value), F.lit("")), LINE_END)
+    # the split is bound once: an array of one, transformed
+    return F.get(F.transform(F.array(whole), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)), F.lit(0))
 
 
 def heading_level(line: Column | str) -> Column:
@@ -105,10 +106,9 @@ def page_range(spec: Column, total: Column) -> Column:
 
 
 def bounded_id(value: Column, base: int, limit: int) -> Column:
-    """Whether an identifier in the base (10 or 16) lies under the limit; NULL if it is no number."""
-    if base == 10:
-        number = value.try_cast("decimal(38,0)")
-    else:
-        digits = F.when(value.rlike("^[0-9A-Fa-f]{1,15}$"), F.conv(value, 16, 10))
-        number = digits.try_cast("decimal(38,0)")
-    return number < F.lit(limit).cast("decimal(38,0)")
+    """Whether an identifier in the base (10 or 16) lies under the limit, whatever its leading zeros; NULL if it is no number."""
+    digits = "[0-9]" if base == 10 else "[0-9A-Fa-f]"
+    plain = F.regexp_replace(value, "^0+(?=.)", "")
+    small = F.length(plain) <= (18 if base == 10 else 15)
+    number = plain.try_cast("bigint") if base == 10 else F.conv(plain, 16, 10).try_cast("bigint")
+    return F.when(value.rlike(f"^{digits}+$"), F.when(small, number < F.lit(limit)).otherwise(F.lit(False)))

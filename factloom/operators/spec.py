@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.fonts import CHINESE_FONTS, WESTERN_FONTS, size_signals
 from factloom.functions.text import WS, close, heading_level, heading_text, strip
+from factloom.operators.checks import bounded
 
 #: Words that name a line-spacing mode.
 SPACING_MODES = ("固定值", "最小值", "多倍行距", "exact", "at_least", "multiple")
@@ -45,32 +46,38 @@ def headings(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"level": heading_level("text"), "heading": heading_text("text")}).where("level is not null").select("spec_id", "line_number", "level", "heading")
 
 
+_EXAMPLES = "array<struct<line_number:int,context:string,text:string,pt:double>>"
+
+
 def conflicts(lines: DataFrame) -> DataFrame:
-    """(spec_id, pass_no, line_number, context, text, type, reasons) of what contradicts itself.
+    """(spec_id, pass_no, line_number, context, text, type, reasons, examples) of what contradicts itself.
 
-    1: a line whose sizes disagree. 2: a size name with several explicit sizes over the lines that hold exactly one
-    of each, at its first line. 3: a line spacing in pt without a mode (headings included, with their own context).
+    1: a line whose sizes disagree. 2: a size name (the text of the row) with several explicit sizes over the lines
+    that hold exactly one name and one size, at its first line, with these lines as examples. 3: a line spacing in pt
+    without a mode (headings included, with their own context). examples is NULL in 1 and 3.
     """
     at = with_context(lines).withColumn("s", size_signals("text"))
     plain = at.where("level is null")
+    none = F.lit(None).cast(_EXAMPLES).alias("examples")
     first = plain.where("size(s.conflicts) > 0").select(
-        "spec_id", F.lit(1).alias("pass_no"), "line_number", "context", strip("text").alias("text"), F.lit("font_size_conflict").alias("type"), F.col("s.conflicts").alias("reasons")
+        "spec_id", F.lit(1).alias("pass_no"), "line_number", "context", strip("text").alias("text"), F.lit("font_size_conflict").alias("type"), F.col("s.conflicts").alias("reasons"), none
     )
     single = plain.where("size(s.named) = 1 and size(s.explicit) = 1").select(
         "spec_id", "line_number", "context", strip("text").alias("text"), F.expr("s.named[0].name").alias("name"), F.expr("s.explicit[0]").alias("pt")
     )
     across = (
         single.groupBy("spec_id", "name")
-        .agg(F.sort_array(F.collect_set("pt")).alias("pts"), F.min(F.struct("line_number", "context", "text")).alias("f"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("line_number").cast("int").alias("line_number"), "context", "text", "pt"))).alias("examples"))
+        .withColumn("pts", F.array_sort(F.array_distinct(F.col("examples.pt"))))
         .where("size(pts) > 1")
-        .select("spec_id", F.lit(2).alias("pass_no"), "f.line_number", "f.context", "f.text", F.lit("font_size_inconsistent").alias("type"),
-                F.concat(F.array("name"), F.transform("pts", lambda x: x.cast("string"))).alias("reasons"))
+        .select("spec_id", F.lit(2).alias("pass_no"), F.expr("examples[0].line_number").alias("line_number"), F.expr("examples[0].context").alias("context"), F.col("name").alias("text"),
+                F.lit("font_size_inconsistent_across_spec").alias("type"), F.concat(F.array("name"), F.transform("pts", lambda x: x.cast("string"))).alias("reasons"), F.col("examples").cast(_EXAMPLES).alias("examples"))
     )
     has_mode = F.lit(False)
     for mode in SPACING_MODES:
         has_mode = has_mode | F.contains(F.lower("text"), F.lit(mode))
     spacing = at.where(F.col("text").rlike(SPACING_VALUE) & ~has_mode).select(
-        "spec_id", F.lit(3).alias("pass_no"), "line_number", "context", strip("text").alias("text"), F.lit("line_spacing_mode_missing").alias("type"), F.array(F.lit("no_mode")).alias("reasons")
+        "spec_id", F.lit(3).alias("pass_no"), "line_number", "context", strip("text").alias("text"), F.lit("line_spacing_mode_missing").alias("type"), F.array(F.lit("no_mode")).alias("reasons"), none
     )
     return first.unionByName(across).unionByName(spacing)
 
@@ -86,12 +93,13 @@ def structure(spark: SparkSession, lines: DataFrame, sections: dict[str, tuple[s
     )
 
 
-def body_consistency(checks: DataFrame, top: DataFrame, keywords: tuple[str, ...] = (), keys: list[str] | None = None) -> DataFrame:
+def body_consistency(checks: DataFrame, top: DataFrame, keywords: tuple[str, ...] = (), keys: list[str] | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Checks against the top value of each distribution: (keys, idx, type, rule_text, expected, actual, verdict).
 
-    top: (keys, metric, value, cnt, rank) of ``paragraph_stats``. verdict: supported or mismatch; fonts seen fewer than
-    three times say nothing. A line spacing is compared by mode and by number, so 20 and 20.0 agree. Other types are
-    not compared.
+    top: (keys, metric, value, cnt, rank) of ``paragraph_stats``. docs: a table of all ``keys``, so that those without
+    any evidence are answered too. verdict: supported or mismatch, also where there is nothing to compare with; fonts
+    seen fewer than three times say nothing. A line spacing is compared by mode and by number, so 20 and 20.0 agree.
+    Other types are not compared.
     """
     keys = keys or ["doc_id"]
     metric = (
@@ -101,9 +109,12 @@ def body_consistency(checks: DataFrame, top: DataFrame, keywords: tuple[str, ...
     wanted = checks.withColumn("metric", metric).where("metric is not null")
     if keywords:
         wanted = wanted.where(F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.coalesce(F.col("section"), F.lit("")), k)))
-    best = top.where("rank = 1")
-    groups = top.select(*keys).distinct()
-    rows = groups.join(F.broadcast(wanted), F.lit(True)).join(best, [*keys, "metric"], "left")  # every check meets every group's evidence
+    firsts = F.collect_list(F.when(F.col("rank") == 1, F.struct("metric", F.struct("value", "cnt"))))
+    groups = top.groupBy(*keys).agg(F.map_from_entries(firsts).alias("best"))
+    if docs is not None:
+        groups = docs.select(*keys).distinct().join(groups, keys, "left")
+    best = F.try_element_at("best", F.col("metric"))
+    rows = groups.join(bounded(wanted), F.lit(True)).withColumns({"value": best["value"], "cnt": best["cnt"]})  # every check meets every group's evidence
     spaced = F.split("value", ":")
     ok = (
         F.when(F.col("type") == "font_size", close(F.col("expected_num"), F.col("value").try_cast("double"), 0.2))
@@ -120,7 +131,7 @@ def body_consistency(checks: DataFrame, top: DataFrame, keywords: tuple[str, ...
 
 
 def common_sense(lines: DataFrame) -> DataFrame:
-    """(spec_id, line_number, context, text, pattern, east_asia_font, ascii_font): Chinese fonts given for Western text.
+    """(spec_id, line_number, context, text, type, pattern, east_asia_font, ascii_font): Chinese fonts given for Western text.
 
     Four wordings: pair, named pair, reversed pair, Western alone. A place that two of them match is reported twice.
     """
@@ -139,7 +150,7 @@ def common_sense(lines: DataFrame) -> DataFrame:
         got = lambda g: F.regexp_extract_all("text", F.lit(regex), F.lit(g))  # noqa: B023, E731
         pairs = F.arrays_zip(got(east or west).alias("e"), got(west).alias("w"))
         hits = at.select("spec_id", "line_number", "context", strip("text").alias("shown"), F.explode(pairs).alias("p")).select(
-            "spec_id", "line_number", "context", F.col("shown").alias("text"), F.lit(name).alias("pattern"),
+            "spec_id", "line_number", "context", F.col("shown").alias("text"), F.lit("font_common_sense_conflict").alias("type"), F.lit(name).alias("pattern"),
             (F.col("p.e") if east else F.lit(None).cast("string")).alias("east_asia_font"), F.col("p.w").alias("ascii_font"),
         )
         hits = hits.where(F.col("ascii_font").isin(*CHINESE_FONTS))
@@ -148,10 +159,11 @@ def common_sense(lines: DataFrame) -> DataFrame:
 
 
 def status(found: DataFrame, specs: DataFrame) -> DataFrame:
-    """(spec_id, conflict_count, status) for every specification in ``specs``."""
-    counts = found.groupBy("spec_id").agg(F.count("*").alias("n"))
+    """(spec_id, conflict_count, conflict_types, status) for every specification in ``specs``; the types are distinct and sorted."""
+    counts = found.groupBy("spec_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
     return specs.select("spec_id").distinct().join(counts, "spec_id", "left").select(
-        "spec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("conflict_count"), F.when(F.coalesce("n", F.lit(0)) == 0, "pass").otherwise("needs_revision").alias("status")
+        "spec_id", n.alias("conflict_count"), F.coalesce("types", F.array().cast("array<string>")).alias("conflict_types"), F.when(n == 0, "pass").otherwise("needs_revision").alias("status")
     )
 
 

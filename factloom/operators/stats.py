@@ -52,8 +52,8 @@ def matching(paragraphs: DataFrame, wanted: ParagraphFilter) -> DataFrame:
     return paragraphs.where(wanted.condition(F.col("text"), F.col("style_name"), p["alignment"], p["first_line_indent_pt"]))
 
 
-def observations(paragraphs: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, metric, value, ord): what each paragraph adds to the six distributions, made in one pass."""
+def observations(paragraphs: DataFrame, keys: list[str], order: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """(keys, metric, value, ord): what each paragraph adds to the wanted distributions, made in one pass."""
     p = F.col("properties")
     spacing = F.when(
         p["line_spacing_mode"].isNotNull() | p["line_spacing_value"].isNotNull(),
@@ -67,7 +67,7 @@ def observations(paragraphs: DataFrame, keys: list[str], order: str) -> DataFram
         "east_asia_font": F.when(F.col("text").rlike("[\\x{4e00}-\\x{9fff}]"), F.nullif(p["font_family_east_asia"], F.lit(""))),
         "ascii_font": F.when(F.col("text").rlike("[A-Za-z]"), F.nullif(p["font_family_ascii"], F.lit(""))),
     }
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), values[m].alias("value")) for m in METRICS])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), values[m].alias("value")) for m in metrics])
     return (
         paragraphs.select(*keys, F.col(order).alias("ord"), F.explode(pairs).alias("o"))
         .select(*keys, "o.metric", "o.value", "ord")
@@ -91,11 +91,6 @@ def paragraph_stats(paragraphs: DataFrame, wanted: ParagraphFilter = ParagraphFi
     return top_values(observations(matching(paragraphs, wanted), keys, "index"), [*keys, "metric"], top)
 
 
-def candidate_counts(paragraphs: DataFrame, wanted: ParagraphFilter = ParagraphFilter(), keys: list[str] | None = None) -> DataFrame:
-    keys = keys or ["doc_id"]
-    return matching(paragraphs, wanted).groupBy(*keys).agg(F.count("*").alias("candidate_count"))
-
-
 def samples(rows: DataFrame, keys: list[str], order: list[str], text: str = "text", limit: int = 8, length: int = 120) -> DataFrame:
     """The first ``limit`` rows of each group in order, with a preview of the text."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -109,3 +104,23 @@ def distributions(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return lists.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("metric", F.transform("d", lambda x: F.struct(x["value"].alias("value"), x["cnt"].alias("count")))))).alias("distributions")
     )
+
+
+def summary(paragraphs: DataFrame, wanted: ParagraphFilter = ParagraphFilter(), keys: list[str] | None = None, docs: DataFrame | None = None, sample_limit: int = 8, top: int = 5) -> DataFrame:
+    """(keys, candidate_count, distributions, candidate_examples): one row a group, and for each of ``docs`` if given.
+
+    distributions: a map from metric to ordered (value, count). candidate_examples: the first paragraphs in order.
+    """
+    keys = keys or ["doc_id"]
+    kept = matching(paragraphs, wanted)
+    lists = distributions(paragraph_stats(paragraphs, wanted, keys, top), keys)
+    p = F.col("properties")
+    shown = F.struct(*[p[n].alias(n) for n in ("font_size_pt", "line_spacing_mode", "line_spacing_value", "first_line_indent_pt", "font_family_east_asia", "font_family_ascii")])
+    example = F.struct(F.col("index").alias("paragraph_index"), "style_name", preview("text", 120).alias("text_preview"), shown.alias("properties"))
+    counts = kept.groupBy(*keys).agg(F.count("*").alias("candidate_count"))
+    first = samples(kept.withColumn("example", example), keys, ["index"], limit=sample_limit).groupBy(*keys)
+    examples = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "example"))), lambda x: x["example"]).alias("candidate_examples"))
+    out = counts.join(lists, keys, "left").join(examples, keys, "left")
+    if docs is not None:
+        out = docs.select(*keys).distinct().join(out, keys, "left")
+    return out.withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)).cast("bigint"))
