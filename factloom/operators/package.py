@@ -7,9 +7,11 @@ Each rule returns violations (doc_id, rule, part, pos, detail).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.staging import staged
+
 VIOLATION = ["doc_id", "rule", "part", "pos", "detail"]
 
 #: Elements whose identifier must be unique, the attribute's local name, and where.
@@ -46,17 +48,17 @@ def _violations(rows: DataFrame, rule: str, detail: Column, part: str = "part",
     return rows.select("doc_id", F.lit(rule).alias("rule"), F.col(part).alias("part"), at.alias("pos"), detail.alias("detail"))
 
 
-def duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Second and later rows of each key, with ``first_<order>`` of the first."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    firsts = {f"first_{c}": F.first(c).over(w) for c in order}
-    return rows.withColumns({"__n": F.row_number().over(w), **firsts}).where("__n > 1").drop("__n")
-
+def duplicates(rows: DataFrame, keys: list[str], order: list[str], spark: SparkSession | None = None) -> DataFrame:
+    """Rows of each key that come after its first in ``order``, with ``first_<order>`` of the first; null keys have none.
 
-def _local(attrs: str, name: str) -> Column:
-    """The value of the first attribute with a local name, letter case aside."""
-    entries = F.filter(F.map_entries(attrs), lambda e: F.lower(F.element_at(F.split(e["key"], ":"), -1)) == name)
-    return F.get(entries, F.lit(0))["value"]
+    The firsts are a pre-aggregated minimum that the rows join, so no group meets in one sort. With ``spark`` they are
+    staged: both sides of the join are then plain shuffles, which adaptive execution splits where a key is hot.
+    """
+    firsts = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first_row"), F.count("*").alias("first_n")).where("first_n > 1").select(*keys, "first_row")
+    if spark is not None:
+        firsts = staged(spark, firsts, "firsts")
+    later = rows.join(firsts, keys).where(F.struct(*order) != F.col("first_row"))
+    return later.select(*rows.columns, *[F.col(f"first_row.{c}").alias(f"first_{c}") for c in order])
 
 
 def not_well_formed(parsed: DataFrame) -> DataFrame:
@@ -247,6 +249,37 @@ def strip_template_tags(value: Column) -> Column:
     return F.regexp_replace(value, r"\{\{[^}]*\}\}", "")
 
 
+def schema_errors(parts: DataFrame, schemas: str) -> DataFrame:
+    """(doc_id, part, error): parts that their schema in the folder ``schemas`` refuses, placeholders left out, in one pass.
+
+    Parts without a schema, or whose schema file the folder lacks, are not looked at. The folder must be there on all
+    machines. ``new_errors`` against those of an original package tells which a change has brought.
+    """
+    spark = parts.sparkSession
+    there = {n for n in dict.fromkeys(n for _, n in SCHEMAS) if _exists(spark, f"{schemas.rstrip('/')}/{n}")}
+    name = schema_of()
+    text = strip_template_tags(F.col("content").cast("string"))
+    refused = F.lit(None).cast("string")
+    for n in sorted(there):
+        read = F.from_xml(text, "refused string", {"rowValidationXSDPath": f"{schemas.rstrip('/')}/{n}", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "refused"})
+        refused = F.when(name == n, read["refused"]).otherwise(refused)
+    rows = parts.where(name.isin(*there) if there else F.lit(False)).select("doc_id", "part", name.alias("schema"), refused.alias("refused"))
+    return rows.where("refused is not null").select("doc_id", "part", F.concat(F.lit("not valid by "), "schema").alias("error"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def schema_violations(parts: DataFrame, schemas: str, original: DataFrame | None = None) -> DataFrame:
+    """Violations of the schema rule; with ``original`` (the parts before a change) only those that it did not have."""
+    found = schema_errors(parts, schemas)
+    if original is not None:
+        found = new_errors(found, schema_errors(original, schemas), ["doc_id", "part"]).select("doc_id", "part", F.explode("first").alias("error"))
+    return _violations(found, "schema", F.col("error"), pos=None)
+
+
 def paragraph_counts(elements: DataFrame) -> DataFrame:
     return elements.where((F.col("part") == "word/document.xml") & (F.col("tag") == "p") & (F.col("ns") == "w")).groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 

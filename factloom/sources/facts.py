@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema
 from factloom.functions.text import line_count, strip
+from factloom.staging import remove
 
 FACTS = (
     f"struct<format:string, metadata:map<string,string>, layout:{schema.LAYOUT}, paragraphs:array<struct<id:string, index:int, text:string, style_name:string, style_id:string,"
@@ -49,7 +50,12 @@ def styles_of(facts: DataFrame) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(doc_id, text, line_count) of text files as UTF-8; other suffixes are left out."""
+    """(doc_id, text, line_count) of text files as UTF-8. A path that names a file of another suffix is an error; in a folder
+    or glob such files are left out."""
+    for one in [path] if isinstance(path, str) else path:
+        ending = os.path.splitext(one)[1].lower().lstrip(".")
+        if ending and not any(x in one for x in "*?[{") and ending not in TEXT_SUFFIXES:
+            raise ValueError(f"no text source: {one}")
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     suffix = F.lower(F.regexp_extract("doc_id", r"\.([^./]+)$", 1))
     return files.where(suffix.isin(*TEXT_SUFFIXES)).withColumn("line_count", line_count("text"))
@@ -77,11 +83,26 @@ def load_checks(path: str) -> list[dict]:
     return data["checks"] if isinstance(data, dict) else data
 
 
+def load_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, metric, value, cnt, rank) of the JSON that the stats command writes: one entry a document in ``summary``."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["summary"]
+    rows = []
+    for one in found if isinstance(found, list) else [found]:
+        lists = one.get("distributions") or {k.removesuffix("_distribution"): v for k, v in one.items() if k.endswith("_distribution")}
+        for metric, values in lists.items():
+            rows += [(one.get("doc_id") or path, metric, str(v["value"]), int(v["count"]), n) for n, v in enumerate(values, 1)]
+    return spark.createDataFrame(rows, "doc_id string, metric string, value string, cnt bigint, rank int")
+
+
 PDF_PAGES = "doc_id string, page_number int, width double, height double, text string, tables array<array<array<string>>>"
 
 
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of PDF files, if an optional reader is installed; their schema is PDF_PAGES."""
+    """Pages of PDF files, if an optional reader is installed; their schema is PDF_PAGES. Spark reports a path that is not there."""
+    ending = os.path.splitext(path)[1].lower()
+    if ending and ending != ".pdf" and not any(x in path for x in "*?[{"):
+        raise ValueError(f"not a PDF file: {path}")
     try:
         import pdfplumber
     except ImportError as e:
@@ -155,9 +176,7 @@ class FactsStore:
         return self._stats | {"size": 0 if known is None else known.select("doc_id", "modified").distinct().count()}
 
     def clear(self) -> None:
-        jvm = self._spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self._path)
-        where.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(self._spark, self._path)
         self._stats = {"hits": 0, "misses": 0}
 
 

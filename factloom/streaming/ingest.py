@@ -16,7 +16,7 @@ from factloom.sources import packages
 def stream_elements(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """The element table of Word files as they arrive in a folder."""
     kind = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.doc[xm]").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.{" + ",".join(packages.WORD_SUFFIXES) + "}").option("maxFilesPerTrigger", files_per_trigger).load(path)
     return packages.elements(packages.unpack(files.select(F.col("path").alias("doc_id"), "content")))
 
 
