@@ -15,7 +15,9 @@ from factloom.functions.text import normalize_name, normalized
 from factloom.operators import checks as check_ops
 from factloom.operators import compare as compare_ops
 from factloom.operators import package, spec, stats
+from factloom.operators.stats import ParagraphFilter
 from factloom.sources import docx, facts, packages
+from factloom.staging import staged
 
 
 @dataclass
@@ -32,7 +34,22 @@ class Documents:
 
     @property
     def styles(self) -> DataFrame:
-        return docx.styles(self.elements)
+        return docx.resolved_styles(self.spark, self.elements)
+
+    @property
+    def ids(self) -> DataFrame:
+        """Every document, those without paragraphs too."""
+        return self.files.select("doc_id")
+
+    def release(self) -> None:
+        """Let go of what is kept in memory."""
+        self.elements.unpersist()
+
+    def __enter__(self) -> Documents:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
 
     @property
     def layouts(self) -> DataFrame:
@@ -68,23 +85,40 @@ class Word:
 
     def compare(self, reference: str, target: str) -> DataFrame:
         both = self.parse([reference, target])
-        ids = [r["doc_id"] for r in both.files.select("doc_id").collect()]  # two files
-        pick = lambda p: next(i for i in ids if i.endswith(p.rsplit("/", 1)[-1]))
-        pairs = self._spark.createDataFrame([(pick(reference), pick(target))], "reference_id string, target_id string")
+        names = [packages.read_files(self._spark, p).select("doc_id").first()["doc_id"] for p in (reference, target)]
+        pairs = self._spark.createDataFrame([tuple(names)], "reference_id string, target_id string")
         return compare_ops.compare_documents(pairs, both.paragraphs, both.layouts)
 
-    def inspect(self, path: str, show: str | None = None) -> DataFrame:
-        """The parts of packages with their sizes, or one part indented."""
+    def inspect(self, path: str, show: str | None = None, output_dir: str | None = None, merge_runs: bool = False) -> DataFrame:
+        """The parts of packages with their sizes, or one part indented; with ``output_dir`` all XML parts, indented, go there as
+        Parquet (doc_id, part, xml, merged), runs of equal format merged on request."""
+        parts = packages.unpack(packages.read_files(self._spark, path))
+        if output_dir is not None:
+            packages.pretty(parts, merge_runs).write.mode("overwrite").parquet(output_dir)
+            return self._spark.read.parquet(output_dir).groupBy("doc_id").agg(F.count("*").alias("xml_parts"), F.sum("merged").alias("merged_runs"))
+        return packages.listing(parts) if show is None else packages.pretty(parts.where(F.col("part") == show), merge_runs).drop("merged")
+
+    def validate(self, path: str, auto_repair: bool = False, output: str | None = None, schemas: str | None = None, original: str | None = None) -> DataFrame:
+        """Violations. ``auto_repair`` judges the repaired packages, and writes them below ``output`` as Parquet (doc_id, content).
+        With a folder of ``schemas`` parts are validated too; ``original`` is one package whose own errors do not count."""
         parts = packages.unpack(packages.read_files(self._spark, path))
-        return packages.listing(parts) if show is None else packages.pretty(parts.where(F.col("part") == show))
-
-    def validate(self, path: str, auto_repair: bool = False) -> DataFrame:
-        parts = packages.unpack(packages.read_files(self._spark, path)).persist()
-        rows = packages.elements(parts)
         if auto_repair:
-            rows = package.repair_durable_ids(package.repair_whitespace(rows)[0])
+            whole = packages.repacked(parts, packages.repaired(parts))
+            if output is not None:
+                whole.write.mode("overwrite").parquet(output)
+                whole = self._spark.read.parquet(output)
+            parts = packages.unpack(whole)
+        parts = staged(self._spark, parts, "parts")
+        rows = staged(self._spark, packages.elements(parts), "elements")
         outcome = packages.outcomes(parts)
-        return package.validate_package(parts, rows.persist(), outcome.select("doc_id", "part", "error"), outcome)
+        found = package.validate_package(parts, rows, outcome.select("doc_id", "part", "error"), outcome)
+        if schemas is None:
+            return found
+        before = None
+        if original is not None:
+            own = packages.unpack(packages.read_files(self._spark, original)).drop("doc_id")
+            before = parts.select("doc_id").distinct().join(F.broadcast(own), F.lit(True))  # one package's parts, beside each
+        return found.unionByName(package.schema_violations(parts, schemas, before))
 
 
 def query_style(styles: DataFrame, name: str) -> DataFrame:
@@ -105,12 +139,19 @@ class Analysis:
             raise ValueError("; ".join(errors))
         table = self._spark.createDataFrame(check_ops.to_rows(checks), schema.CHECKS)
         if isinstance(documents, Documents):
-            return check_ops.run_checks(table, documents.paragraphs, documents.layouts)
+            return check_ops.run_checks(table, documents.paragraphs, documents.layouts, documents.ids)
         return check_ops.run_checks(table, documents, layouts)
 
-    def stats(self, documents: Documents | DataFrame, wanted: stats.ParagraphFilter = stats.ParagraphFilter()) -> DataFrame:
+    def stats(self, documents: Documents | DataFrame, wanted: ParagraphFilter = ParagraphFilter()) -> DataFrame:
+        """(doc_id, metric, value, cnt, rank): the distributions in long form."""
         return stats.paragraph_stats(documents.paragraphs if isinstance(documents, Documents) else documents, wanted)
 
+    def summary(self, documents: Documents | DataFrame, wanted: ParagraphFilter = ParagraphFilter(), sample_limit: int = 8) -> DataFrame:
+        """One row a document: candidate_count, distributions, candidate_examples."""
+        if isinstance(documents, Documents):
+            return stats.summary(documents.paragraphs, wanted, docs=documents.ids, sample_limit=sample_limit)
+        return stats.summary(documents, wanted, sample_limit=sample_limit)
+
 
 class Text:
     def __init__(self, spark: SparkSession) -> None:
@@ -143,8 +184,8 @@ class Spec:
     def check_structure(self, path: str, sections: dict | None = None) -> DataFrame:
         return spec.structure(self._spark, self._lines(path), sections)
 
-    def check_body_consistency(self, evidence: DataFrame, checks: list[dict], keywords: tuple[str, ...] = ()) -> DataFrame:
-        return spec.body_consistency(self._spark.createDataFrame(check_ops.to_rows(checks), schema.CHECKS), evidence, keywords)
+    def check_body_consistency(self, evidence: DataFrame, checks: list[dict], keywords: tuple[str, ...] = (), docs: DataFrame | None = None) -> DataFrame:
+        return spec.body_consistency(self._spark.createDataFrame(check_ops.to_rows(checks), schema.CHECKS), evidence, keywords, docs=docs)
 
     def check_common_sense(self, path: str) -> DataFrame:
         return spec.common_sense(self._lines(path))

@@ -1,12 +1,47 @@
-"""Profiles: nested settings for structure checks, merged on the driver."""
+"""Profiles: nested settings for structure checks and sampling, merged on the driver."""
 
 from __future__ import annotations
 
-from factloom.operators.spec import SECTIONS
+import json
 
+from factloom.operators.stats import ParagraphFilter
+
+#: The default settings of a thesis, section by section, then the rules and the sampling hints.
 BASE = {
-    "sections": {name: {"required": True, "keywords": list(words)} for name, words in SECTIONS.items()},
-    "tolerances": {"font_size": 0.2, "line_spacing": 0.1, "spacing": 0.5, "margin": 0.05, "page_size": 0.1},
+    "spec_schema": {
+        "sections": {
+            "页面设置": {"required": True, "extractor": "layout", "properties": ["paper_size", "margins", "header_distance", "footer_distance"]},
+            "正文": {
+                "required": True, "extractor": "font", "target_styles": ["Normal"], "validation": "cross_source",
+                "properties": ["east_asia_font", "ascii_font", "font_size", "line_spacing", "alignment", "first_line_indent"],
+            },
+            "标题": {
+                "required": True, "extractor": "heading", "levels": [1, 2, 3, 4], "validation": "cross_source",
+                "properties": ["font", "font_size", "line_spacing", "alignment", "space_before", "space_after"],
+            },
+            "摘要": {"required": True, "extractor": "abstract", "properties": ["title_format", "body_format", "word_count"]},
+            "关键词": {"required": True, "extractor": "keyword", "properties": ["label_format", "content_format", "count_requirement"]},
+            "图表Caption": {"required": True, "extractor": "caption", "target_styles": ["Caption"], "properties": ["figure_caption", "table_caption", "numbering_style"]},
+            "参考文献": {"required": True, "extractor": "reference", "properties": ["font", "font_size", "line_spacing", "citation_style"]},
+            "页眉页脚": {"required": True, "extractor": "header_footer", "properties": ["header_format", "footer_format", "page_numbering"]},
+            "目录": {"required": True, "extractor": "toc", "properties": ["toc_format", "heading_levels_included"]},
+            "封面": {"required": False, "extractor": "cover", "properties": ["title_page_layout"]},
+            "附录": {"required": False, "extractor": "appendix", "properties": ["appendix_format", "appendix_numbering"]},
+            "致谢": {"required": False, "extractor": "acknowledgment", "properties": ["acknowledgment_format"]},
+        }
+    },
+    "evaluate_spec": {
+        "section_rules": {"页面设置": ["页面设置"], "正文": ["正文"], "标题": ["标题"], "摘要": ["摘要"], "图表": ["图", "表"], "参考文献": ["参考文献"]},
+        "body_section_keywords": ["正文"],
+    },
+    "extract_spec": {
+        "body_sampling": {
+            "body_style_hints": ["normal", "body text", "body text indent", "body", "normal indent"],
+            "heading_prefix_patterns": ["^第.+章"],
+            "heading_keywords": ["附录", "摘要", "目录", "参考文献", "致谢"],
+            "instruction_hints": ["打印", "适用于", "选填"],
+        }
+    },
 }
 
 
@@ -18,18 +53,33 @@ def merged(base: dict, override: dict) -> dict:
     return out
 
 
-def load(override: dict | None = None) -> dict:
-    return merged(BASE, override or {})
+def load(path: str | None = None, override: dict | None = None) -> dict:
+    """The default settings, those of a JSON file over them, and ``override`` over both."""
+    out = BASE
+    if path:
+        with open(path, encoding="utf-8") as f:
+            out = merged(out, json.load(f))
+    return merged(out, override or {})
 
 
-def required_sections(profile: dict) -> list[str]:
-    return [n for n, s in profile["sections"].items() if s.get("required")]
+def sections(profile: dict) -> dict:
+    return profile.get("spec_schema", {}).get("sections", {})
 
 
-def section(profile: dict, name: str) -> dict | None:
-    return profile["sections"].get(name)
+def required_sections(profile: dict) -> list[str]:
+    return [name for name, settings in sections(profile).items() if settings.get("required")]
 
 
 def section_rules(profile: dict) -> dict[str, tuple[str, ...]]:
-    """The rules that ``spec.structure`` takes."""
-    return {n: tuple(profile["sections"][n].get("keywords") or (n,)) for n in required_sections(profile)}
+    """The rules that ``spec.structure`` takes: the given ones, else each required section by its name."""
+    given = profile.get("evaluate_spec", {}).get("section_rules")
+    return {n: tuple(w) for n, w in given.items()} if given is not None else {n: (n,) for n in required_sections(profile)}
+
+
+def body_filter(profile: dict) -> ParagraphFilter:
+    """The filter for body text that the sampling settings describe."""
+    s = profile.get("extract_spec", {}).get("body_sampling", {})
+    return ParagraphFilter(
+        style_hints=tuple(s.get("body_style_hints", ())), heading_prefixes=tuple(s.get("heading_prefix_patterns", ())),
+        heading_keywords=tuple(s.get("heading_keywords", ())), instruction_hints=tuple(s.get("instruction_hints", ())),
+    )
