@@ -90,7 +90,103 @@ def test_cli(spark, folder, tmp_path):
     assert code == 1 and found["rows"][0]["type"] == "line_spacing_mode_missing"
     assert run("read-text", str(folder / "spec.md"))[1][0]["line_count"] == 2
     assert len(run("inspect", one)[1]) == 5 and len(run("check", "--schema")[1]) == 11
-    assert run("stats", one)[1] and run("parse", one)[1]["metadata"][0]["paragraph_count"] == 2
+    code, told = run("stats", one, "--min-length", "5", "--sample-limit", "1")
+    assert told["filters"]["min_length"] == 5 and told["summary"][0]["candidate_count"] == 2 and [x["text_preview"] for x in told["summary"][0]["candidate_examples"]] == ["Title"]
+    assert run("stats", one, "--min-length", "500")[1]["summary"][0]["candidate_count"] == 0
+    parsed = run("parse", one)[1]
+    assert parsed["metadata"][0]["paragraph_count"] == 2 and {x["name"]: x.get("base_style") for x in parsed["styles"]} == {"Normal": None, "heading 1": "Normal"}
+    assert next(x for x in parsed["styles"] if x["name"] == "heading 1")["properties"]["line_spacing_value"] == 1.5
+
+
+def test_cli_evidence_and_profiles(spark, folder, tmp_path):
+    out = str(tmp_path / "o.json")
+    main(["stats", str(folder / "one.docx"), "--output", str(tmp_path / "e.json")], spark)
+    (tmp_path / "c.json").write_text(json.dumps([{"type": "font_size", "selector": "s", "expected": 16, "section": "body"}, {"type": "font_size", "selector": "s", "expected": 99, "section": "x"}]))
+    for evidence in (str(tmp_path / "e.json"), str(folder / "one.docx")):
+        assert main(["spec-check", "--mode", "body-consistency", "--evidence", evidence, "--checks", str(tmp_path / "c.json"), "--body-keyword", "body", "--output", out], spark) == 0
+        assert main(["spec-check", "--mode", "body-consistency", "--evidence", evidence, "--checks", str(tmp_path / "c.json"), "--output", out], spark) == 1
+    (tmp_path / "p.json").write_text(json.dumps({"evaluate_spec": {"section_rules": {"a": ["正文"]}}}))
+    main(["spec-check", str(folder / "spec.md"), "--mode", "structure", "--profile", str(tmp_path / "p.json"), "--output", out], spark)
+    rows = json.loads((tmp_path / "o.json").read_text())["rows"]
+    assert {r["section"]: r["status"] for r in rows}["a"] == "covered" and len(rows) == 7
+
+
+def test_profiles():
+    from factloom.plans import profiles
+
+    assert profiles.section_rules(profiles.load())["图表"] == ("图", "表") and "封面" not in profiles.required_sections(profiles.load())
+    own = profiles.load(override={"evaluate_spec": {"section_rules": {"x": ["y"]}}})
+    assert own["evaluate_spec"]["section_rules"]["x"] == ["y"] and "x" not in profiles.BASE["evaluate_spec"]["section_rules"]
+    assert profiles.section_rules({"spec_schema": {"sections": {"a": {"required": True}, "b": {}}}}) == {"a": ("a",)}
+    assert profiles.body_filter(profiles.load()).heading_keywords[0] == "附录"
+
+
+def test_large_results_go_to_folders(spark, folder, tmp_path, monkeypatch):
+    from factloom import cli
+
+    monkeypatch.setattr(cli, "MOST_ROWS", 1)
+    with pytest.raises(SystemExit):
+        main(["query-text", str(folder), "--keyword", "t"], spark)
+    assert main(["query-text", str(folder), "--keyword", "t", "--output-dir", str(tmp_path / "rows")], spark) == 0
+    assert spark.read.json(str(tmp_path / "rows" / "query-text")).count() == 3
+
+
+def test_errors_for_what_cannot_be_read(spark, folder):
+    api = Api(spark)
+    with pytest.raises(ValueError, match="suffix"):
+        api.word.parse(str(folder / "spec.md"))
+    with pytest.raises(ValueError, match="text source"):
+        api.text.read(str(folder / "x.pdf"))
+    with pytest.raises(ValueError, match="PDF"):
+        api.pdf.extract(str(folder / "spec.md"))
+
+
+def test_inspect_merges_runs(spark, tmp_path):
+    body = '<w:p><w:r w:rsidR="1"><w:t xml:space="preserve">a </w:t></w:r><w:proofErr w:type="x"/><w:r w:rsidR="2"><w:t>b</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>c</w:t></w:r></w:p>' + SECTION
+    (tmp_path / "x.docx").write_bytes(make(body))
+    told = Api(spark).word.inspect(str(tmp_path / "x.docx"), output_dir=str(tmp_path / "out"), merge_runs=True).first()
+    assert (told.xml_parts, told.merged_runs) == (5, 1)
+    xml = spark.read.parquet(str(tmp_path / "out")).where("part = 'word/document.xml'").first().xml
+    assert "a b</w:t>" in xml.replace("\n", "") and "rsid" not in xml and "proofErr" not in xml
+
+
+def test_repaired_packages_are_written(spark, tmp_path):
+    (tmp_path / "x.docx").write_bytes(make('<w:p><w:r><w:t> edge</w:t></w:r></w:p>' + SECTION))
+    api, path = Api(spark), str(tmp_path / "x.docx")
+    assert [r["rule"] for r in api.word.validate(path).collect()] == ["whitespace"]
+    assert api.word.validate(path, auto_repair=True, output=str(tmp_path / "fixed")).count() == 0
+    again = packages.unpack(spark.read.parquet(str(tmp_path / "fixed")))
+    assert packages.elements(again).where("tag = 't' and text = ' edge' and attrs['xml:space'] = 'preserve'").count() == 1 and again.count() == 5
+
+
+def test_the_last_runs_font_stands_in(spark):
+    runs = '<w:p><w:r><w:rPr><w:rFonts w:ascii="First"/></w:rPr><w:t>a</w:t></w:r><w:r><w:rPr><w:rFonts w:ascii="Last"/></w:rPr><w:t>b</w:t></w:r></w:p>'
+    p = docx.paragraphs(spark, _elements(spark, runs + SECTION)).first().properties
+    assert (p.font_family_ascii, p.font_family_east_asia) == ("First", "Last")
+
+
+XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="{n}" elementFormDefault="qualified"><xs:element name="styles"><xs:complexType><xs:sequence>
+  <xs:element name="count" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+def test_parts_are_validated_by_their_schemas(spark, tmp_path):
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    (tmp_path / "wml.xsd").write_text(XSD.format(n=space))
+    rows = [("good", "word/a.xml", f'<styles xmlns="{space}"><count>3{{{{later}}}}</count></styles>'), ("bad", "word/a.xml", f'<styles xmlns="{space}"><count>x</count></styles>'), ("bad", "other/a.xml", "<a/>"), ("bad", "xl/b.xml", "<a/>")]
+    parts = spark.createDataFrame([(i, p, x.encode()) for i, p, x in rows], "doc_id string, part string, content binary")
+    assert [(r.doc_id, r.part, r.detail) for r in package.schema_violations(parts, str(tmp_path)).collect()] == [("bad", "word/a.xml", "not valid by wml.xsd")]
+    assert package.schema_violations(parts, str(tmp_path), parts).count() == 0
+    assert package.schema_violations(parts, str(tmp_path), parts.where("doc_id = 'good'")).count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from factloom import staging
+
+    context = SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
 def test_store_parses_files_once(spark, folder, tmp_path):
@@ -109,3 +205,20 @@ def test_streamed_files_give_the_same_elements(spark, folder, tmp_path):
     done.awaitTermination()
     files = packages.read_files(spark, str(folder))
     assert spark.read.parquet(str(tmp_path / "s")).count() == packages.elements(packages.unpack(files)).count()
+
+
+def test_streamed_counts(spark, tmp_path):
+    from factloom import schema
+
+    kind = "at timestamp, kind string"
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", "a"), ("2024-01-01 11:00:00", "a"), ("2024-01-02 01:00:00", "b"), ("2024-01-05 00:00:00", "c")], "at string, kind string")
+    rows.selectExpr("cast(at as timestamp) at", "kind").write.parquet(str(tmp_path / "in"))
+    out = ingest.windowed_counts(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), "at", "kind")
+    ingest.to_parquet(out, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert {(r.kind, r.cnt) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 1)}  # the last day is still open
+    facts = docx.paragraphs(spark, _elements(spark, paragraph("x", "H1") + paragraph("y", "H1") + SECTION))
+    facts.write.parquet(str(tmp_path / "p"))
+    stream = spark.readStream.schema(schema.PARAGRAPHS).parquet(str(tmp_path / "p"))
+    query = ingest.running_distributions(stream).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.metric, r.value, r.cnt) for r in spark.table("running").collect()} >= {("style", "heading 1", 2), ("font_size", "16.0", 2)}

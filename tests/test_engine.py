@@ -70,10 +70,40 @@ def test_checks(spark):
     results, issues = Analysis(spark).check(frame(spark, *rows), batch)
     got = {r.idx: (r.status, r.matched_count, r.actual) for r in results.collect()}
     assert got[0] == ("fail", 2, "1/2 mismatch") and got[1] == ("fail", 2, "1/2 mismatch")
-    assert got[2] == ("unresolved", 0, "no matching paragraphs") and got[3] == ("pass", 1, "1 ok")
-    assert got[4] == ("fail", 1, "1/1 mismatch") and got[5][0] == "unresolved"
-    told = {(r.idx, r.paragraph_id): (r.expected, r.message) for r in issues.collect()}
-    assert told[0, "p-2"] == ("12pt", "mismatch") and told[1, "p-2"] == (None, "missing")
+    assert got[2] == ("unresolved", None, None) and got[3] == ("pass", 1, "1 ok")
+    assert got[4] == ("fail", 1, "1/1 mismatch") and got[5] == ("unresolved", None, None)
+    told = {(r.idx, r.paragraph_id): (r.location, r.expected, r.message) for r in issues.collect()}
+    assert told[0, "p-2"] == (None, "12pt", "font_size_pt mismatch") and told[1, "p-2"] == (None, None, "bold missing")
+    assert told[2, None] == ("style:bodytext", None, "no matching paragraphs") and told[5, None] == ("other", None, "no matching paragraphs")
+
+
+def test_many_checks_give_the_same_verdicts(spark, monkeypatch):
+    rows = [paragraph(n, f"Figure {n}" if n % 3 else " text", f"s{n % 4}", font_size_pt=10.0 + n % 2, font_family_ascii="A" if n % 5 else None) for n in range(40)]
+    batch = [{"type": "font_size", "selector": f"style:S{n}", "expected": 10, "style_aliases": [f"s {(n + 1) % 4}"]} for n in range(5)]
+    batch += [{"type": "font", "selector": "caption:figure", "expected": "a", "scope": "ascii", "caption_prefix_patterns": ["Figure [0-9]$", "Table"], "style_aliases": ["s2"]}, {"type": "font", "selector": "caption:table", "expected": "a"}]
+    few = [sorted(map(tuple, x.collect()), key=repr) for x in Analysis(spark).check(frame(spark, *rows), batch)]
+    monkeypatch.setattr(checks, "CONSTANT_CAPTIONS", 0)
+    assert [sorted(map(tuple, x.collect()), key=repr) for x in Analysis(spark).check(frame(spark, *rows), batch)] == few
+    monkeypatch.setattr(checks, "BROADCAST_CHECKS", 2)
+    assert [sorted(map(tuple, x.collect()), key=repr) for x in Analysis(spark).check(frame(spark, *rows), batch)] == few
+    assert any("(skipped" in str(r) for r in few[0])
+
+
+def test_documents_without_paragraphs_have_verdicts(spark):
+    batch = [{"type": "bold", "selector": "style:x", "expected": True}, {"type": "margin", "selector": "document:layout", "side": "top", "expected": 2}]
+    table, docs = spark.createDataFrame(checks.to_rows(batch), schema.CHECKS), spark.createDataFrame([("lone",)], "doc_id string")
+    layouts = spark.createDataFrame([], f"doc_id string, layout {schema.LAYOUT}")
+    results, issues = checks.run_checks(table, frame(spark), layouts, docs)
+    assert {(r.doc_id, r.idx, r.status, r.actual) for r in results.collect()} == {("lone", 0, "unresolved", None), ("lone", 1, "fail", None)}
+    assert {(r.location, r.expected, r.message) for r in issues.collect()} == {("style:x", None, "no matching paragraphs"), ("document.layout:top", "2.0cm", "margin top mismatch")}
+
+
+def test_the_facts_are_read_once(spark, tmp_path):
+    frame(spark, *[paragraph(n, "Figure 1", "a", font_size_pt=1.0) for n in range(3)]).write.parquet(str(tmp_path / "p"))
+    batch = [{"type": "font_size", "selector": "style:a", "expected": 1}, {"type": "font_size", "selector": "caption:figure", "expected": 1, "caption_prefix_patterns": ["Figure"]}]
+    results, _ = Analysis(spark).check(spark.read.parquet(str(tmp_path / "p")), batch)
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and [r.matched_count for r in results.collect()] == [3, 3]
 
 
 def test_invalid_batches_are_not_run(spark):
@@ -91,6 +121,17 @@ def test_conflicts(spark):
     assert spec.conflicts(_spec(spark, "小四号 12pt", "三号 16pt")).count() == 0
     got = spec.conflicts(_spec(spark, "# A", "行距 20pt", "# B", "三号 12pt")).orderBy("pass_no").collect()
     assert [(r.pass_no, r.context) for r in got] == [(1, "B"), (3, "A")]
+    got = spec.conflicts(_spec(spark, "小四 12pt 12pt", "# C", "小四 14pt")).orderBy("pass_no", "line_number").collect()
+    across = [r for r in got if r.pass_no == 2]
+    assert [(r.text, r.type, r.line_number, list(r.reasons), [x.pt for x in r.examples]) for r in across] == [("小四", "font_size_inconsistent_across_spec", 1, ["小四", "12.0", "14.0"], [12.0, 14.0])]
+    assert spec.status(spec.conflicts(_spec(spark, "三号 12pt", "小四 14pt 12pt")), _spec(spark, "x")).first().conflict_types == ["font_size_conflict"]
+
+
+def test_no_size_is_resolved_where_sizes_conflict(spark):
+    from factloom.functions.fonts import size_signals
+
+    rows = spark.createDataFrame([("三号 12pt",), ("小四 12pt 12pt",), ("三号 16.1pt",), ("小四",), ("小四 五号",)], "text string").select(size_signals("text").alias("s")).collect()
+    assert [r.s.resolved for r in rows] == [None, 12.0, 16.1, 12.0, None] and rows[1].s.explicit == [12.0]
 
 
 def test_structure(spark):
@@ -115,6 +156,31 @@ def test_style_cycles_end(spark):
     assert got == {"a": (1.0, True), "b": (1.0, True)}
 
 
+_STYLE = "doc_id string, style_id string, base_style_id string, size double, bold boolean"
+
+
+def test_long_chains_and_cycles(spark):
+    rows = [("d", f"s{n:03d}", f"s{n - 1:03d}" if n else None, 7.0 if n == 0 else None, True if n == 0 else False if n == 99 else None) for n in range(100)]
+    rows += [("c", "tail", "x", None, None), ("c", "x", "y", 1.0, None), ("c", "y", "z", 2.0, False), ("c", "z", "x", None, True), ("c", "self", "self", 3.0, None), ("c", "lost", "gone", 4.0, None), ("c", "lost", "gone", 4.0, None), (None, "n", "x", 5.0, None)]
+    table = spark.createDataFrame(rows, _STYLE)
+    got = {(r.doc_id, r.style_id): (r.size, r.bold) for r in styles.resolve_styles(spark, table, ["size", "bold"]).collect()}
+    assert len(got) == 107 and all(got["d", f"s{n:03d}"] == (7.0, True) for n in range(100))
+    # tail, x, y, z: the outermost before the chain comes back to x is z; from y it is x, which says nothing, then z
+    assert got["c", "tail"] == (1.0, True) and got["c", "x"] == (1.0, True) and got["c", "y"] == (2.0, True) and got["c", "z"] == (1.0, False)
+    assert got["c", "self"] == (3.0, None) and got["c", "lost"] == (4.0, None) and got[None, "n"] == (5.0, None)
+    chains = {(r.doc_id, r.style_id, r.depth): r.ancestor for r in styles.style_chains(spark, table).collect()}
+    assert chains["d", "s099", 99] == "s000" and chains["c", "z", 2] == "y" and ("c", "z", 3) not in chains and ("c", "lost", 1) not in chains
+
+
+def test_two_million_styles(spark):
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    table = spark.range(2_000_000).select(F.expr("id div 25").alias("doc_id"), (n % 25).alias("style_id"), F.when(n % 25 > 0, n % 25 - 1).alias("base_style_id"), F.when(n % 25 == 0, n).alias("size"))
+    out = styles.resolve_styles(spark, table, ["size"])
+    assert out.where("size = doc_id * 25").count() == 2_000_000
+
+
 def test_report(spark):
     rows = spark.createDataFrame([("a", "b", "layout", "w", "1", "2"), ("a", "b", "paragraph_count", "", "3", None)], "reference_id string, target_id string, type string, key string, reference string, target string")
     text = compare.report(rows).first().markdown
