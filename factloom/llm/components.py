@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._common import staged
+from factloom.llm._common import join_counted, staged
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node it sees."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    low = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("low"), "n")
+    # staged, so that hubs, which hold many edges, are known by their counts and join by a bounded broadcast
     return (
-        both.join(low, "u")
+        join_counted(both, staged(spark, low, "lows"), ["u"], "n")
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
         .where(F.col("u") != F.col("v"))
@@ -21,10 +22,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them (edges run from large to small)."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
-    moved = edges.join(low, "u").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
+    edges = staged(spark, edges, "edges")
+    low = staged(spark, edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "lows")
+    moved = join_counted(edges, low, ["u"], "n").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     own = low.select("u", F.col("low").alias("v"))
     return moved.unionByName(own).distinct()
 
@@ -37,7 +39,8 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u and v, any order); component: its smallest node.
 
-    Each round aggregates and joins on a node; hot nodes are pre-aggregated and their joins can be split.
+    Each round aggregates and joins on a node; nodes that hold many edges are known by their counts and go by a
+    broadcast of bounded size.
     Rounds grow with the logarithm of the longest chain. Only a count and a checksum reach the driver.
     Null ends and loops are ignored; an empty edge table gives an empty result.
     """
@@ -48,7 +51,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     )
     seen = _digest(now)
     while seen[0]:
-        now = staged(spark, _small_star(_large_star(now)), "edges")
+        now = staged(spark, _small_star(spark, _large_star(spark, now)), "edges")
         found = _digest(now)
         if found == seen:
             break

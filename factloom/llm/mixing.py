@@ -105,11 +105,15 @@ def mix(spark: SparkSession, docs: DataFrame, target: Target = Target(), id_col:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with every row as many times as its document is used."""
+    """``docs`` with every row as many times as its document is used, at least once.
+
+    Null ids and sources are documents and a source of their own, a null text has no words, repeated rows are one
+    document and stay, an empty table gives no rows. All columns come back, whatever their names.
+    """
     uses = mix(spark, docs, target, id_col, text_col, source_col).groupBy("id", "source").agg(F.count("*").cast("int").alias("times"))
-    uses = uses.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("times").alias("__times"))
-    joined = docs.join(uses, docs[id_col].eqNullSafe(uses["__id"]) & docs[source_col].eqNullSafe(uses["__source"]))
-    return joined.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__source", "__times", "__use")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"))
+    joined = whole.join(uses, F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("source")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("use")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mixing_sql(target: Target = Target(), source: str = "documents") -> str:

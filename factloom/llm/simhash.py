@@ -10,6 +10,7 @@ so what is joined grows with distinct texts. All steps but the hashing of words
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._common import no_null, ship, staged
+from factloom.llm._common import join_counted, no_null, ship, staged
 from factloom.llm.components import connected_components
 
 SEGMENTS = 16
@@ -26,21 +27,41 @@ MAX_BITS = 2
 SEED = 42
 
 
-def fingerprint_of(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles; zero for a text without words (or null)."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    return _fold([b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))])
+_PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 
+def _pieces(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time."""
+    at = 0
+    while at < len(data):
+        over = _SPACE.search(data, at + _PIECE) if len(data) - at > _PIECE else None
+        end = over.start() if over else len(data)
+        yield data[at:end].split()
+        at = end
 
-def _fold(shingles: list[bytes]) -> int:
+
+def fingerprint_of(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles; zero for a text without words (or null).
+
+    Words are cut and hashed piece by piece: what is held of a very long text, beside the text, is one piece.
+    """
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):  # bounded memory for very long texts
-        counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    counts, total, carried = np.zeros(64, np.int64), 0, []
+    for words in _pieces((text or "").encode().lower()):
+        words = carried + words
+        n = len(words) - shingle + 1
+        if n > 0:
+            hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+            for at in range(0, n, 8192):
+                counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            total += n
+        carried = words[max(0, len(words) - shingle + 1) :]
+    if not total:
+        if not carried:
+            return 0
+        return digest(b" ".join(carried), SEED)  # fewer words than a shingle: their whole sequence
+    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -87,22 +108,19 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest id reachable over links of at most
     two differing bits, itself included. Null and empty texts have fingerprint zero and link like any other.
-    Repeated rows stay, rows with a null id get the component of their fingerprint (null when no id has it),
+    Repeated rows stay, rows with a null id get the component of their fingerprint (null when no row of it has an id),
     an empty table gives no rows. Extra columns are not read, whatever their names.
     """
     ship(spark)
     marked = staged(spark, fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = marked.groupBy("fp").agg(F.min("id").alias("rep"))
     links = staged(spark, grid_links(reps.select("fp")), "links")
-    ends = reps.where("rep is not null")
-    edges = (
-        links.join(ends.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(ends.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        .select("u", "v")
-    )
-    parts = connected_components(spark, edges)
-    classes = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(classes, "fp").select(
+    parts = connected_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # fingerprints are the nodes, so that one that only rows without an id have links others too
+    placed = staged(spark, reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "parts")
+    least = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
+    classes = staged(spark, placed.join(least, "part").join(marked.groupBy("fp").agg(F.count("*").alias("n")), "fp").select("fp", "component_id", "n"), "classes")
+    return join_counted(marked, classes, ["fp"], "n").select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
 
