@@ -3,7 +3,8 @@
 A sequence of tokens is what BPE makes of a word exactly when each token stands for itself and every
 neighbouring pair is compatible (BPE of the joined pair gives the pair back). So each prefix of a word has one
 last token that is compatible with the last token of the prefix before it. Tokens that end at a prefix come
-from an Aho-Corasick automaton over the vocabulary; the unique last token is stored for every prefix, and the
+from an automaton of the vocabulary's suffixes (Aho-Corasick: its failure links lead from each matched string to the
+longest suffix that a token begins with, so it yields every token that ends there); the unique last token is stored for every prefix, and the
 ids are read off by following the back-pointers from the end. Normalisation and splitting into words are those
 of the tokenizer file. The results of words are kept in a cache of bounded size.
 """
@@ -52,11 +53,35 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 
 
+class UnsupportedTokenizer(ValueError):
+    """A tokenizer file with something that this encoder would answer differently."""
+
+
+def _refuse(data: dict) -> None:
+    """Raise for files other than byte-level BPE whose vocabulary has every byte, and for settings that change results."""
+    model = data["model"]
+    wrong = []
+    if model.get("type", "BPE") != "BPE":
+        wrong.append(f"model {model.get('type')}")
+    wrong += [f"model setting {k}" for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    suffix = model.get("end_of_word_suffix") or ""
+    lacking = [c for c in _BYTE_CHARS for x in dict.fromkeys((c, c + suffix)) if x not in model["vocab"]]
+    if lacking:
+        wrong.append(f"{len(lacking)} bytes without a symbol")
+    steps = data.get("pre_tokenizer") or {}
+    if not any(x.get("type") == "ByteLevel" for x in steps.get("pretokenizers", [steps])):
+        wrong.append("no byte-level pre-tokenizer")
+    wrong += [f"added token {t['content']}" for t in data.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    if wrong:
+        raise UnsupportedTokenizer("not supported: " + ", ".join(wrong))
+
+
 class PrefixBPE:
-    """Encoder for a ``tokenizers`` file with a byte-level BPE model with (or without) an end-of-word suffix."""
+    """Encoder for a ``tokenizers`` file with a byte-level BPE model with (or without) an end-of-word suffix; other files are refused."""
 
     def __init__(self, spec: str) -> None:
         data = json.loads(spec)
+        _refuse(data)
         model = data["model"]
         self._tokenizer = Tokenizer.from_str(spec)
         self._tokenizer.no_truncation()
@@ -88,6 +113,7 @@ class PrefixBPE:
         self._texts: dict[bytes, str] = {}
         steps = [(data.get("normalizer") or {}).get("normalizers"), (data.get("pre_tokenizer") or {}).get("pretokenizers")]
         self._usual = steps == _USUAL
+        self._plain_decoding = data.get("decoder") is None
 
     def _inner(self, token: str) -> str:
         return token[: -len(self._suffix)] + _END if self._suffix and token.endswith(self._suffix) else token
@@ -168,6 +194,8 @@ class PrefixBPE:
                 last[end], size[end] = token, length
         ids, end = [], len(marked)
         while end > 0:
+            if not size[end]:
+                raise UnsupportedTokenizer(f"no token ends at {end} of {piece!r}")
             ids.append(last[end])
             end -= size[end]
         return ids[::-1]
@@ -198,9 +226,9 @@ class PrefixBPE:
             if part in self._special:
                 found.append(struct.pack("<I", self._special[part]))
             else:
-                # white space separates words before anything else, so chunks are independent and can be short
-                for chunk in part.encode().split():
-                    plain = self._tokenizer.normalizer.normalize_str(chunk.decode()) if self._tokenizer.normalizer else chunk.decode()
+                # with the usual steps white space separates words before anything else, so chunks are independent and can be short
+                for chunk in [x.decode() for x in part.encode().split()] if self._usual else [part]:
+                    plain = self._tokenizer.normalizer.normalize_str(chunk) if self._tokenizer.normalizer else chunk
                     found += [struct.pack(f"<{len(ids)}I", *ids) for piece, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(plain) for ids in [self.word(piece)]]
         return found
 
@@ -217,6 +245,9 @@ class PrefixBPE:
     def both(self, text: str | None) -> tuple[bytes, str]:
         """Ids as bytes, and the decoded text."""
         words = self._words(text)
+        if not self._plain_decoding:
+            ids = b"".join(words)
+            return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
         get, make = self._texts.get, self._text
         return b"".join(words), " ".join([get(w) or make(w) for w in words])
 
@@ -224,7 +255,9 @@ class PrefixBPE:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """As the library's decode without a decoder: the tokens, joined by blanks."""
+        """As the library's decode: without a decoder the tokens, joined by blanks."""
+        if not self._plain_decoding:
+            return self._tokenizer.decode(ids, skip_special_tokens=False)
         return " ".join(self._text_of[i] for i in ids if i in self._text_of)
 
 
