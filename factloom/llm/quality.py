@@ -12,27 +12,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._arrays import let
 from factloom.llm._common import SPACE_CLASS, no_null
 
 SYMBOLS = "#*$%&|<>"
 
-#: Fixed phrases of pages' furniture, matched in lower case.
+#: Fixed phrases of pages' furniture, matched in lower case: English, French, German, Spanish.
 BOILERPLATE = (
-    "all rights reserved",
-    "cookie policy",
-    "uses cookies",
-    "accept cookies",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "enable javascript",
-    "sign up for our newsletter",
-    "subscribe to our",
-    "click here",
-    "read more",
-    "share this",
-    "lorem ipsum",
+    *("all rights reserved", "cookie policy", "uses cookies", "accept cookies", "privacy policy", "terms of service", "terms of use", "enable javascript"),
+    *("sign up for our newsletter", "subscribe to our", "click here", "read more", "share this", "skip to content", "back to top", "powered by", "lorem ipsum"),
+    *("tous droits réservés", "politique de confidentialité", "politique de cookies", "utilise des cookies", "accepter les cookies", "mentions légales", "conditions d'utilisation"),
+    *("abonnez-vous à", "inscrivez-vous à", "cliquez ici", "lire la suite", "en savoir plus", "retour en haut", "partager sur"),
+    *("alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "verwendet cookies", "cookies akzeptieren", "nutzungsbedingungen", "impressum"),
+    *("newsletter abonnieren", "jetzt abonnieren", "klicken sie hier", "hier klicken", "weiterlesen", "mehr erfahren", "nach oben", "artikel teilen"),
+    *("todos los derechos reservados", "política de privacidad", "política de cookies", "utiliza cookies", "aceptar cookies", "aviso legal", "términos de uso"),
+    *("suscríbete a", "suscríbase a", "haz clic aquí", "haga clic aquí", "leer más", "seguir leyendo", "volver arriba", "compartir en"),
 )
+#: Characters that part the items of menus and trails.
+SEPARATORS = "|>»›•·→"
 
 
 @dataclass(frozen=True)
@@ -55,11 +52,6 @@ class Rules:
     max_lost_share: float = 0.5
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
@@ -85,12 +77,12 @@ def _repeat_words(words: Column, size: int = 3) -> Column:
 
     def counted(windows: Column) -> Column:
         found = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_let(found, covered))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(found, covered))
 
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - size), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]))
 
-    return F.when(n < size + 1, F.lit(0).cast("long")).otherwise(_let(words, lambda w: _let(windows(w), counted)))
+    return F.when(n < size + 1, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(windows(w), counted)))
 
 
 def _line_facts(line: Column) -> Column:
@@ -102,7 +94,7 @@ def _line_facts(line: Column) -> Column:
 def _line_fails(x: Column, rules: Rules) -> Column:
     line = x["line"]
     punctuation = (x["symbols"] > rules.max_symbol_share * x["chars"]) | ((x["words"] >= rules.prose_words) & ~line.rlike(r"[.!?;:,。！？…]"))
-    separators = F.length(line) - F.length(F.translate(line, "|>»›•·", ""))
+    separators = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
     navigation = (separators >= rules.min_separators) & (separators * rules.words_per_item >= x["words"])
     low = F.lower(line)
     boilerplate = (x["words"] <= rules.boilerplate_words) & F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))
@@ -118,18 +110,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and null ids stay, an empty table gives no rows, and other columns are not read, whatever their names.
     """
     text = no_null(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), words_of(text).alias("words"), F.transform(lines, _line_facts).alias("lines"))
+    # every line with its verdict, made once; a line without a word has no characters and fails no rule
+    lines = F.transform(F.transform(F.split(text, "\n"), _line_facts), lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), ((x["chars"] > 0) & _line_fails(x, rules)).alias("bad")))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
+    said = F.filter("lines", lambda x: x["chars"] > 0)
     judged = base.select(
         "id",
         "text",
+        "lines",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct(F.col("lines.line")))).cast("long").alias("n_dup_lines"),
+        let(F.transform(said, lambda x: x["line"]), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.filter("lines", lambda x: _line_fails(x, rules)).alias("failed"),
+        F.size(said).cast("long").alias("n_lines"),
+        F.filter("lines", lambda x: x["bad"]).alias("failed"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     lost = F.aggregate("failed", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
@@ -137,9 +132,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= rules.max_lost_share * F.col("word_chars"))
     columns = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_failed_lines", "lost_chars"]
     if cleaned:
-        gone = F.when(
-            F.col("n_failed_lines") > 0,
-            _let(F.col("failed.line"), lambda bad: F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(bad, x)), "\n")),
-        ).otherwise(F.col("text"))
-        columns.append(gone.alias("text"))
+        rest = F.array_join(F.transform(F.filter("lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
+        columns.append(F.when(F.col("n_failed_lines") > 0, rest).otherwise(F.col("text")).alias("text"))
     return out.select(*columns)

@@ -13,7 +13,7 @@ from factloom.llm.fingerprint import fingerprints_and_edits
 from factloom.llm.html_text import extract_main_text
 from factloom.llm.licenses import license_scan
 from factloom.llm.mixing import mix, mixing_sql
-from factloom.llm.quality import BOILERPLATE, SYMBOLS, Rules, quality_rules
+from factloom.llm.quality import BOILERPLATE, SEPARATORS, SYMBOLS, Rules, quality_rules
 from factloom.llm.repeats import repeated_strings
 from factloom.llm.secrets import BASE, RULES, secret_spans
 from factloom.llm.simhash import simhash_components
@@ -51,7 +51,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_sql(rules: Rules = Rules(), source: str = "documents") -> str:
     """DuckDB SQL for the rows of ``quality_rules``, with the text without failed lines as cleaned."""
     space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-    phrases = " or ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+    quoted = [p.replace("'", "''") for p in BOILERPLATE]
+    phrases = " or ".join(f"contains(lower(x), '{p}')" for p in quoted)
     return f"""
 with d as (
   select doc_id, coalesce(text, '') as text,
@@ -72,8 +73,8 @@ f as (
     list_filter(lines, lambda x:
       length(x) - length(translate(x, '{SYMBOLS}', '')) > {rules.max_symbol_share}::double * length(regexp_replace(x, '{space}', '', 'g'))
       or (len(regexp_extract_all(x, '{word}+')) >= {rules.prose_words} and not regexp_matches(x, '[.!?;:,。！？…]'))
-      or (length(x) - length(translate(x, '|>»›•·', '')) >= {rules.min_separators}
-          and (length(x) - length(translate(x, '|>»›•·', ''))) * {rules.words_per_item} >= len(regexp_extract_all(x, '{word}+')))
+      or (length(x) - length(translate(x, '{SEPARATORS}', '')) >= {rules.min_separators}
+          and (length(x) - length(translate(x, '{SEPARATORS}', ''))) * {rules.words_per_item} >= len(regexp_extract_all(x, '{word}+')))
       or (len(regexp_extract_all(x, '{word}+')) <= {rules.boilerplate_words} and ({phrases}))) as failed
   from d),
 q as (

@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._arrays import blocks, greatest, let, piece, sums
 from factloom.llm._common import no_null
-from factloom.llm.quality import _let
 
 BLOCK_DOCS = 4096
 _MOST = 64
@@ -121,32 +121,19 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     nothing = F.array().cast(f"array<{shape}>")
 
     def located(matches: Column) -> Column:
-        """Matches and the pieces between them alternate; their lengths add up to the positions."""
-        pieces = F.split(text, rule.regex, -1)
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + x["before"]
-            span = F.struct(start.alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), (start + x["size"]).alias("end"))
-            return F.struct(
-                (start + x["size"]).alias("at"), F.when(x["fits"], F.concat(a["out"], F.array(span.cast(shape)))).otherwise(a["out"]).alias("out")
-            )
-
-        def walk(between: Column, inside: Column) -> Column:
-            steps = F.transform(
-                matches,
-                lambda m, i: F.struct(
-                    F.length(F.get(between, i)).cast("bigint").alias("before"),
-                    F.length(m).cast("bigint").alias("size"),
-                    (F.length(F.get(inside, i)) >= rule.least).alias("fits"),
-                ),
-            )
-            return F.aggregate(steps, zero, step, lambda a: a["out"])
-
-        return _let(pieces, lambda between: _let(tested, lambda inside: walk(between, inside)))
+        """Matches and the pieces between them alternate; the running sums of their lengths are the positions."""
+        pieces = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x).cast("bigint"))
+        inside = F.transform(tested, F.length) if rule.group else F.transform(matches, F.length)
+
+        def walk(sizes: Column, before: Column, least: Column) -> Column:
+            steps = F.transform(sizes, lambda n, i: F.get(before, i) + n)
+            spans = lambda ends: F.transform(ends, lambda e, i: F.struct((e - F.get(sizes, i)).alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), e.alias("end")))
+            return let(sums(steps), lambda ends: F.filter(spans(ends), lambda s, i: F.get(least, i) >= rule.least)).cast(f"array<{shape}>")
+
+        return let(F.transform(matches, lambda m: F.length(m).cast("bigint")), lambda sizes: let(pieces, lambda before: let(inside, lambda least: walk(sizes, before, least))))
 
     # splitting and locating only where a match is long enough
-    return _let(whole, lambda matches: F.when(F.size(matches) > 0, located(matches)).otherwise(nothing))
+    return let(whole, lambda matches: F.when(F.size(matches) > 0, located(matches)).otherwise(nothing))
 
 
 def _tight(rule: Rule) -> Rule:
@@ -219,10 +206,10 @@ _KEY_REST = r"""^[A-Za-z0-9+/]+={0,2}(?=[ \t"',]*(?:[\r\n\\]|$))"""
 
 
 def key_blocks(text: Column, spans: Column) -> Column:
-    """``spans`` with those of private keys drawn out from the header to the END line, or over the base64 lines if END is missing."""
+    """``spans`` with those of private keys drawn out from the header to the END line, or over the base64 lines if END is missing.
 
-    def behind(end: Column) -> Column:
-        return F.substring(text, (end + 1).cast("int"), F.length(text))
+    A key ends before the next header at the latest, so each looks no further than that.
+    """
 
     def unended(after: Column) -> Column:
         headers = F.regexp_extract(after, _KEY_HEADERS, 0)
@@ -240,24 +227,29 @@ def key_blocks(text: Column, spans: Column) -> Column:
         upto = F.length(F.get(F.split(after, _KEY_MARK, 2), F.lit(0))) + F.length(F.regexp_extract(after, _KEY_MARK, 0))
         return F.when(ended, upto).otherwise(unended(after)).cast("bigint")
 
-    def drawn(s: Column) -> Column:
-        return F.when(s["kind"] == "pem", s.withField("end", s["end"] + length(behind(s["end"])))).otherwise(s)
+    def drawn(keys: Column, cut: Column) -> Column:
+        # to the first character of the next header, which is in no key
+        behind = lambda s, i: piece(cut, s["end"], F.least(F.coalesce(F.get(keys, i + 1)["start"] + 1, F.length(text).cast("bigint")), F.length(text).cast("bigint")))
+        return F.transform(keys, lambda s, i: s.withField("end", s["end"] + let(behind(s, i), length)))
 
-    return F.when(F.exists(spans, lambda s: s["kind"] == "pem"), F.transform(spans, drawn)).otherwise(spans)
+    others = F.filter(spans, lambda s: s["kind"] != "pem")
+    keys = F.filter(spans, lambda s: s["kind"] == "pem")
+    return F.when(F.exists(spans, lambda s: s["kind"] == "pem"), F.array_sort(F.concat(others, let(keys, lambda k: let(blocks(text), lambda cut: drawn(k, cut)))))).otherwise(spans)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every stretch that spans cover replaced by ``mark``; spans that overlap are one stretch."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        piece = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece, F.lit(mark)))).otherwise(a["out"]).alias("out")
-        )
+    def cut_out(starts: Column, reach: Column, cut: Column) -> Column:
+        # a span heads a stretch if it starts where all before it have ended, and the stretch ends where the next one's forerunners do
+        heads = F.filter(F.transform(starts, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["s"] >= F.get(reach, x["i"] - 1)))
+
+        def pieces(heads: Column) -> Column:
+            kept = F.transform(heads, lambda x: piece(cut, F.when(x["i"] == 0, F.lit(0).cast("bigint")).otherwise(F.get(reach, x["i"] - 1)), x["s"]))
+            return F.concat(kept, F.array(piece(cut, F.element_at(reach, -1), F.length(text).cast("bigint"))))
 
-    def close(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
+        return F.array_join(let(heads, pieces), mark)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, close))
+    starts, ends = F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"])
+    whole = let(starts, lambda s: let(greatest(ends), lambda r: let(blocks(text), lambda cut: cut_out(s, r, cut))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
