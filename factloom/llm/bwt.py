@@ -7,7 +7,7 @@ symbol more. Where a row first differs from the one above is its common prefix l
 the unbroken blocks are the intervals of suffixes that share ``length`` symbols.
 
 Each round passes over all rows and all suffixes of a merge meet in one task, so this serves shards of bounded size;
-the README has figures, and says how whole tables are done.
+``measure_bwt`` takes its figures, and the README says how whole tables are done.
 """
 
 from __future__ import annotations
@@ -35,13 +35,38 @@ class Merged:
     size: np.ndarray
     heads: np.ndarray
     length: int
+    #: Rows in blocks of two or more, after each round: the least that a round has to deal.
+    open_rows: list[int]
 
 
 def shard(texts: list[bytes], first: int = 0) -> Shard:
-    """The transform of some texts, numbered from ``first``; bytes are symbols 1 to 256."""
-    suffixes = sorted((t[i:], n, i) for n, t in enumerate(texts) for i in range(len(t) + 1))
-    before = [texts[n][i - 1] + 1 if i else 0 for _, n, i in suffixes]
-    return Shard(np.array(before, np.uint16), np.array([first + n for _, n, _ in suffixes], np.int64), np.array([i for *_, i in suffixes], np.int64))
+    """The transform of some texts, numbered from ``first``; bytes are symbols 1 to 256.
+
+    Suffixes are sorted by doubling the prefix that their ranks stand for; end marks differ, in the order of texts.
+    """
+    marks = np.cumsum([len(t) + 1 for t in texts]).astype(np.int64) - 1
+    total = int(marks[-1]) + 1 if len(texts) else 0
+    symbol = np.zeros(total, np.int64)
+    joined = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
+    symbol[:] = joined.astype(np.int64) + 1
+    symbol[marks] = 0
+    rank = symbol + len(texts)
+    rank[marks] = np.arange(len(texts))
+    step, order = 1, np.argsort(rank, kind="stable")
+    while True:
+        following = np.concatenate([rank[step:], np.zeros(min(step, total), np.int64)])[:total] if total else rank
+        order = np.lexsort((following, rank))
+        new = np.concatenate([[0], np.cumsum((rank[order][1:] != rank[order][:-1]) | (following[order][1:] != following[order][:-1]))]) if total else rank
+        rank = np.empty(total, np.int64)
+        rank[order] = new
+        if not total or new[-1] == total - 1:
+            break
+        step *= 2
+    text = np.searchsorted(marks, order)
+    begin = np.concatenate([[0], marks[:-1] + 1]) if len(texts) else marks
+    start = order - begin[text] if total else order
+    before = np.where(start > 0, symbol[order - 1], 0) if total else order
+    return Shard(before.astype(np.uint16), (first + text).astype(np.int64), start.astype(np.int64))
 
 
 def merge(shards: list[Shard], length: int) -> Merged:
@@ -51,6 +76,7 @@ def merge(shards: list[Shard], length: int) -> Merged:
     total = len(place)
     heads = np.zeros(total, bool)
     heads[:1] = True
+    open_rows = []
     for _ in range(length):
         # the k-th row of a shard in the merged order is the k-th of its transform
         symbols = np.empty(total, np.uint16)
@@ -62,6 +88,7 @@ def merge(shards: list[Shard], length: int) -> Merged:
         heads = np.concatenate([[True], (dealt[1:] != dealt[:-1]) | (source[1:] != source[:-1])])
         # end marks are all different
         heads |= dealt == 0
+        open_rows.append(total - int((heads & np.append(heads[1:], True)).sum()))
     text, start, size = np.empty(total, np.int64), np.empty(total, np.int64), np.zeros(total, np.int64)
     for n, s in enumerate(shards):
         text[place == n], start[place == n] = s.text, s.start
@@ -70,7 +97,7 @@ def merge(shards: list[Shard], length: int) -> Merged:
         for t in np.unique(s.text).tolist():
             lengths[t] = int(s.start[s.text == t].max())
     size = np.array([lengths[t] for t in text.tolist()], np.int64)
-    return Merged(text, start, size, heads, length)
+    return Merged(text, start, size, heads, length, open_rows)
 
 
 def repeated_starts(merged: Merged) -> set[tuple[int, int]]:
