@@ -5,6 +5,7 @@ Paths may be globs and folders; every match is read, and doc_id tells the docume
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,20 +69,53 @@ class Documents:
         return docx.metadata(self.spark, self.files, self.elements)
 
 
+#: So many parsed inputs are kept, the latest used.
+CACHED = 32
+
+
 class Word:
-    def __init__(self, spark: SparkSession) -> None:
-        self._spark = spark
+    def __init__(self, spark: SparkSession, cached: int = CACHED) -> None:
+        self._spark, self._most = spark, cached
+        self._cache: OrderedDict[tuple, Documents] = OrderedDict()
+        self._stats = {"hits": 0, "misses": 0}
 
     def parse(self, path: str | list[str]) -> Documents:
+        """The documents of a path, glob or folder; parsed once as long as its files are the same."""
         files = packages.read_files(self._spark, path)
-        return Documents(self._spark, files, packages.elements(packages.unpack(files)).persist())
-
-    def query_style(self, documents: Documents, name: str) -> DataFrame:
+        names = path if isinstance(path, str) else tuple(path)
+        mark = files.agg(F.count("*").alias("n"), F.max("modified").alias("at"), F.sum(F.xxhash64("doc_id", "modified").cast("decimal(38,0)")).alias("h")).first()
+        key = (names, mark["n"], mark["at"], mark["h"])
+        found = self._cache.get(key)
+        if found is not None:
+            self._stats["hits"] += 1
+            self._cache.move_to_end(key)
+            return found
+        self._stats["misses"] += 1
+        for old in [k for k in self._cache if k[0] == names]:  # changed since
+            self._cache.pop(old).release()
+        found = self._cache[key] = Documents(self._spark, files, packages.elements(packages.unpack(files)).persist())
+        while len(self._cache) > self._most:
+            self._cache.popitem(last=False)[1].release()
+        return found
+
+    def cache_stats(self) -> dict:
+        return self._stats | {"size": len(self._cache), "max_size": self._most}
+
+    def clear_cache(self) -> None:
+        for documents in self._cache.values():
+            documents.release()
+        self._cache.clear()
+        self._stats = {"hits": 0, "misses": 0}
+
+    def documents(self, given: Documents | str | list[str]) -> Documents:
+        return given if isinstance(given, Documents) else self.parse(given)
+
+    def query_style(self, documents: Documents | str, name: str) -> DataFrame:
         """Styles whose name holds the given one, case and white space aside."""
-        return query_style(documents.styles, name)
+        return query_style(self.documents(documents).styles, name)
 
-    def query_text(self, documents: Documents, keyword: str) -> DataFrame:
-        return query_text(documents.paragraphs, keyword)
+    def query_text(self, documents: Documents | str, keyword: str) -> DataFrame:
+        return query_text(self.documents(documents).paragraphs, keyword)
 
     def compare(self, reference: str, target: str) -> DataFrame:
         both = self.parse([reference, target])
@@ -130,27 +164,29 @@ def query_text(paragraphs: DataFrame, keyword: str, text: str = "text") -> DataF
 
 
 class Analysis:
-    def __init__(self, spark: SparkSession) -> None:
-        self._spark = spark
+    def __init__(self, spark: SparkSession, word: Word | None = None) -> None:
+        self._spark, self._word = spark, word or Word(spark)
 
-    def check(self, documents: Documents | DataFrame, checks: list[dict], layouts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def check(self, documents: Documents | DataFrame | str, checks: list[dict], layouts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(results, issues); a batch with an invalid instruction raises ValueError with all that is wrong."""
         if errors := check_ops.validate(checks):
             raise ValueError("; ".join(errors))
         table = self._spark.createDataFrame(check_ops.to_rows(checks), schema.CHECKS)
-        if isinstance(documents, Documents):
+        if not isinstance(documents, DataFrame):
+            documents = self._word.documents(documents)
             return check_ops.run_checks(table, documents.paragraphs, documents.layouts, documents.ids)
         return check_ops.run_checks(table, documents, layouts)
 
-    def stats(self, documents: Documents | DataFrame, wanted: ParagraphFilter = ParagraphFilter()) -> DataFrame:
+    def stats(self, documents: Documents | DataFrame | str, wanted: ParagraphFilter = ParagraphFilter()) -> DataFrame:
         """(doc_id, metric, value, cnt, rank): the distributions in long form."""
-        return stats.paragraph_stats(documents.paragraphs if isinstance(documents, Documents) else documents, wanted)
+        return stats.paragraph_stats(documents if isinstance(documents, DataFrame) else self._word.documents(documents).paragraphs, wanted)
 
-    def summary(self, documents: Documents | DataFrame, wanted: ParagraphFilter = ParagraphFilter(), sample_limit: int = 8) -> DataFrame:
+    def summary(self, documents: Documents | DataFrame | str, wanted: ParagraphFilter = ParagraphFilter(), sample_limit: int = 8) -> DataFrame:
         """One row a document: candidate_count, distributions, candidate_examples."""
-        if isinstance(documents, Documents):
-            return stats.summary(documents.paragraphs, wanted, docs=documents.ids, sample_limit=sample_limit)
-        return stats.summary(documents, wanted, sample_limit=sample_limit)
+        if isinstance(documents, DataFrame):
+            return stats.summary(documents, wanted, sample_limit=sample_limit)
+        documents = self._word.documents(documents)
+        return stats.summary(documents.paragraphs, wanted, docs=documents.ids, sample_limit=sample_limit)
 
 
 class Text:
@@ -192,9 +228,30 @@ class Spec:
 
 
 class Api:
-    def __init__(self, spark: SparkSession) -> None:
-        self.word, self.analysis, self.text, self.pdf, self.spec = Word(spark), Analysis(spark), Text(spark), Pdf(spark), Spec(spark)
+    def __init__(self, spark: SparkSession, cached: int = CACHED) -> None:
+        self.word = Word(spark, cached)
+        self.analysis, self.text, self.pdf, self.spec = Analysis(spark, self.word), Text(spark), Pdf(spark), Spec(spark)
         self._spark = spark
 
+    def cache_stats(self) -> dict:
+        return self.word.cache_stats()
+
+    def clear_cache(self) -> None:
+        self.word.clear_cache()
+
     def store(self, path: str) -> facts.FactsStore:
         return facts.FactsStore(self._spark, path)
+
+
+class DocumentService:
+    """One flat facade over the namespaces, for callers of the older names."""
+
+    def __init__(self, spark: SparkSession, cached: int = CACHED) -> None:
+        api = Api(spark, cached)
+        self.parse, self.query_style, self.query_text = api.word.parse, api.word.query_style, api.word.query_text
+        self.validate, self.inspect, self.compare_docs = api.word.validate, api.word.inspect, api.word.compare
+        self.batch_check, self.stats = api.analysis.check, api.analysis.summary
+        self.read_text, self.read_pdf = api.text.read, api.pdf.extract
+        self.spec_check_conflicts, self.spec_check_structure = api.spec.check_conflicts, api.spec.check_structure
+        self.spec_check_body_consistency, self.spec_check_common_sense = api.spec.check_body_consistency, api.spec.check_common_sense
+        self.cache_stats, self.clear_cache = api.cache_stats, api.clear_cache

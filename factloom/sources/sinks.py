@@ -13,10 +13,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_text(df: DataFrame, path: str, column: str) -> None:
-    df.select(column).write.mode("overwrite").text(path)
-
-
 def put_json(data: object, path: str | None = None) -> None:
     """One JSON document, indented, to a file (folders are made) or to standard output."""
     put_text(json.dumps(data, ensure_ascii=False, indent=2, default=str), path)

@@ -200,6 +200,23 @@ def test_store_parses_files_once(spark, folder, tmp_path):
     assert store.stats() == {"hits": 0, "misses": 0, "size": 0}
 
 
+def test_inputs_are_parsed_once_and_let_go(spark, folder):
+    import os
+
+    from factloom.api import DocumentService
+
+    service = DocumentService(spark, cached=1)
+    one, two = str(folder / "one.docx"), str(folder / "two.docx")
+    assert service.query_text(one, "some").count() == 1 and service.parse(one) is service.parse(one)
+    assert service.cache_stats() == {"hits": 2, "misses": 1, "size": 1, "max_size": 1}
+    assert service.stats(two).first().candidate_count == 1 and service.cache_stats()["size"] == 1
+    before = service.parse(one)
+    os.utime(one, (1, 1))
+    assert service.parse(one) is not before
+    service.clear_cache()
+    assert service.cache_stats() == {"hits": 0, "misses": 0, "size": 0, "max_size": 1}
+
+
 def test_streamed_files_give_the_same_elements(spark, folder, tmp_path):
     done = ingest.to_parquet(ingest.stream_elements(spark, str(folder)), str(tmp_path / "s"), str(tmp_path / "c"))
     done.awaitTermination()
