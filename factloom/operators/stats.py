@@ -118,7 +118,7 @@ def summary(paragraphs: DataFrame, wanted: ParagraphFilter = ParagraphFilter(),
     shown = F.struct(*[p[n].alias(n) for n in ("font_size_pt", "line_spacing_mode", "line_spacing_value", "first_line_indent_pt", "font_family_east_asia", "font_family_ascii")])
     example = F.struct(F.col("index").alias("paragraph_index"), "style_name", preview("text", 120).alias("text_preview"), shown.alias("properties"))
     counts = kept.groupBy(*keys).agg(F.count("*").alias("candidate_count"))
-    first = samples(kept.withColumn("example", example), keys, ["index"], limit=sample_limit).groupBy(*keys)
+    first = samples(kept.withColumn("example", example), keys, ["index", "id", "text"], limit=sample_limit).groupBy(*keys)
     examples = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "example"))), lambda x: x["example"]).alias("candidate_examples"))
     out = counts.join(lists, keys, "left").join(examples, keys, "left")
     if docs is not None:

@@ -991,8 +991,8 @@ def paragraph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "stats_summary",
-    f"""with k as (select *, row_number() over (partition by doc_id order by index) as sample from ({LINE_FACTS}) where (alignment = 'justify' or first_line_indent_pt > 0) and {_norm('style_name')} in ('a', 'n'))
-select doc_id, count(*) as candidate_count, list(index order by index) filter (sample <= 3) as examples, list(substr(text, 1, 120) order by index) filter (sample <= 3) as previews from k group by doc_id""",
+    f"""with k as (select *, row_number() over (partition by doc_id order by index, id, text) as sample from ({LINE_FACTS}) where (alignment = 'justify' or first_line_indent_pt > 0) and {_norm('style_name')} in ('a', 'n'))
+select doc_id, count(*) as candidate_count, list(index order by sample) filter (sample <= 3) as examples, list(substr(text, 1, 120) order by sample) filter (sample <= 3) as previews from k group by doc_id""",
 )
 def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats_ops.summary(_line_facts(spark, sf_dir), ParagraphFilter(style_hints=("a", "N"), require_body_shape=True), sample_limit=3)
