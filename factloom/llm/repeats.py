@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm._common import no_null, ship, staged
+from factloom.llm._common import bitmap_of, held_in, join_counted, no_null, ship, staged
 
 LENGTH = 400
 ANCHOR = 200
@@ -39,7 +39,6 @@ _WINDOW = LENGTH - ANCHOR + 1
 _BASE = 0x9E3779B97F4A7C15
 _INDEX_BITS = 20
 _STEP = (1 << _INDEX_BITS) - 4 * LENGTH
-_SLOTS = 1 << 23
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -99,35 +98,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
 
 
-def _slots(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (1 MB) of the documents in ``keys``; it may hold others, never lacks one."""
-    slot = F.pmod(F.xxhash64("doc", "mark"), F.lit(_SLOTS))
-    words = (
-        keys.select(F.floor(slot / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc, mark), 64) as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(_SLOTS // 64, np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return out
-
-
 def _texts_of(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc, mark, text) of the documents in ``keys`` and perhaps some more, without a shuffle."""
-    bitmap = spark.sparkContext.broadcast(_slots(keys))
-    slot = F.pmod(F.xxhash64("doc", "mark"), F.lit(_SLOTS))
-    marked = _texts(docs).withColumn("word", F.floor(slot / 64).cast("bigint")).withColumn("bit", F.expr("pmod(xxhash64(doc, mark), 64)"))
+    one = F.xxhash64("doc", "mark").alias("h")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(keys.select(one)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, bit = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
-            kept = batch.select([0, 1, 2]).filter(pa.array((bitmap.value[word] >> bit) & 1 == 1))
+            kept = batch.select([0, 1, 2]).filter(pa.array(held_in(bitmap.value, batch.column(3).to_numpy(zero_copy_only=False))))
             if kept.num_rows:
                 yield kept
 
-    return marked.mapInArrow(run, _texts(docs).schema)
+    return _texts(docs).withColumn("h", one).mapInArrow(run, _texts(docs).schema)
 
 
 def _unpacked(batch: pa.RecordBatch, k: int) -> tuple:
@@ -146,16 +128,15 @@ def _resolved(spark: SparkSession, pieces: DataFrame, core: list[str]) -> tuple[
     each goes on; it is open if its own windows are still to be settled, otherwise others are compared with it.
     """
     hull = [*core, "hull", "a", "b"]
-    # staged, so that both sides of the join are plain shuffles, which adaptive execution splits where a core is hot
-    again = staged(spark, pieces.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core), "repeated-cores")
-    dup = staged(spark, pieces.join(again, core), "repeated-pieces")
+    again = staged(spark, pieces.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1"), "repeated-cores")
+    dup = staged(spark, join_counted(pieces, again, core, "n").drop("n"), "repeated-pieces")
     groups = staged(
         spark, dup.groupBy(*hull).agg(F.count("*").alias("n"), F.max("open").alias("any_open"), F.min(F.struct("doc", "mark", "at")).alias("first")), "hulls"
     ).withColumn("open", F.expr("n = 1 and any_open"))
-    settled = dup.where("open").join(groups.where("n > 1").select(*hull), hull).select("doc", "mark", F.expr("shiftleft(bigint(at - a), 12) | (b + %d)" % LENGTH).alias("span"))
-    several = groups.groupBy(*core).agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 and some").select(*core)
+    settled = join_counted(dup.where("open"), groups.where("n > 1").select(*hull, "n"), hull, "n").select("doc", "mark", F.expr("shiftleft(bigint(at - a), 12) | (b + %d)" % LENGTH).alias("span"))
+    several = staged(spark, groups.groupBy(*core).agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 and some").select(*core, "m"), "open-cores")
     packed = F.expr("shiftleft(bigint(first.at), 21) | shiftleft(bigint(a), 11) | shiftleft(bigint(b), 1) | int(open)")
-    left = groups.join(several, core).select("first.doc", "first.mark", "anchor", packed.alias("piece"))
+    left = join_counted(groups, several, core, "m").select("first.doc", "first.mark", "anchor", packed.alias("piece"))
     return settled, staged(spark, left.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "piece")).alias("pieces")), "open-pieces")
 
 
@@ -230,8 +211,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     parts = looked_at(todo, blocks, "anchor bigint, core bigint, hull bigint, at int, a smallint, b smallint, open boolean")
     more, todo = _resolved(spark, parts, ["anchor", "core"])
     rows = looked_at(todo, windows, "anchor bigint, window bigint, start int, open boolean")
-    twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    single = rows.where("open").join(twice, ["anchor", "window"], "left_semi").select("doc", "mark", F.expr("shiftleft(bigint(start), 12) | %d" % LENGTH).alias("span"))
+    twice = staged(spark, rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1"), "repeated-windows")
+    single = join_counted(rows.where("open"), twice, ["anchor", "window"], "n").select("doc", "mark", F.expr("shiftleft(bigint(start), 12) | %d" % LENGTH).alias("span"))
     spans = staged(spark, whole.unionByName(more).unionByName(single).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
