@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._arrays import blocks, greatest, let, piece, sums
-from factloom.llm._common import no_null
+from factloom.llm._common import no_null, staged
 
 BLOCK_DOCS = 4096
+#: So many candidates (some 4 MB) are broadcast at most.
+BROADCAST_ROWS = 100_000
 _MOST = 64
 
 
@@ -187,8 +189,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids are each answered, an empty table gives no rows, other columns are not read, whatever their names.
     """
     kept = docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("key"))
-    hits = candidates(kept.select("key", "text"), rules)
-    joined = kept.join(hits, "key", "left")
+    hits = staged(docs.sparkSession, candidates(kept.select("key", "text"), rules), "candidates")
+    # few candidates are told to all texts; for more, texts and candidates are shuffled
+    joined = kept.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, "key", "left")
     parts = []
     for n, rule in enumerate(rules):
         spans = _spans(F.col("text"), _tight(rule), n)
