@@ -103,7 +103,8 @@ def grid_links(points: DataFrame) -> DataFrame:
     )
     a, b = (cells.select("cell", F.col("fp").alias(x), F.col("step").alias(f"s{x}")) for x in "ab")
     meet = "a < b and ((sa = 0) or (sa != 0 and sb != 0 and sa != sb))"
-    return a.join(b, "cell").where(meet).where(f"bit_count(a ^ b) <= {MAX_BITS}").select("a", "b").distinct()
+    # up to 65 cells a point, which Spark sizes as the points: without the hint it may broadcast them through the driver
+    return a.join(b.hint("merge"), "cell").where(meet).where(f"bit_count(a ^ b) <= {MAX_BITS}").select("a", "b").distinct()
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

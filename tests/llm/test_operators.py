@@ -135,6 +135,13 @@ def test_grid_finds_every_pair_within_two_bits(spark):
     assert got == want
 
 
+def test_cells_are_not_broadcast(spark):
+    """Spark sizes the cells of a point as the point: by that size it would send them all through the driver."""
+    points = spark.range(20).withColumnRenamed("id", "fp")
+    found = simhash.grid_links(points)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
 def test_fingerprints_that_only_rows_without_an_id_hold_link_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, i, t, s: docs.select(F.col(i).alias("id"), F.when(F.col(t) == "a", 0).when(F.col(t) == "b", 3).otherwise(15).cast("bigint").alias("fp")))
     rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id bigint, text string")
