@@ -218,7 +218,8 @@ def license_units(
     low = F.lower(no_null(text_col))
     # texts go by 128 bits of hashes: equal texts are one, and are scored once
     keyed = docs.select(F.col(id_col).alias("id"), low.alias("low"), F.xxhash64(low).alias("k1"), F.xxhash64(F.lit(1), low).alias("k2"))
-    units = staged(spark, _candidates(keyed, weights).dropDuplicates(["k1", "k2", "kind", "unit"]), "license-units")
+    # not staged: as equal texts meet, each unit lies in one partition, so that its words are summed there and never shuffled
+    units = _candidates(keyed, weights).dropDuplicates(["k1", "k2", "kind", "unit"])
     scored = staged(spark, _scored(spark, units, weights, threshold), "license-scores")
     covered = scored.groupBy("k1", "k2", "license", "kind").agg(F.round(F.sum(F.col("words") * F.col("cosine")), 6).alias("covered"), F.max("cosine").alias("cosine"))
     by_license = covered.groupBy("k1", "k2", "license").agg(F.max("covered").alias("covered"), F.max("cosine").alias("cosine"))

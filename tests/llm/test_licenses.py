@@ -151,3 +151,17 @@ def test_units_below_the_bounds_cannot_match():
 def test_long_lines(spark):
     text = " ".join(f"license w{n}" for n in range(60_000))
     assert _scan(spark, [text, "Released under the MIT License."])[0].license is None
+
+
+def test_words_of_units_are_not_shuffled(spark, monkeypatch):
+    shuffles, staged = {}, licenses.staged
+
+    def counted(spark, df, label):
+        shuffles[label] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return staged(spark, df, label)
+
+    monkeypatch.setattr(licenses, "staged", counted)
+    docs = spark.createDataFrame([(1, KNOWN[0][2]), (2, FILLER), (3, KNOWN[0][2])], "doc_id bigint, text string")
+    assert licenses.license_units(spark, docs).where("license is not null").count() == 2
+    # units meet once, by the texts' hashes; their words, templates and licenses are summed where they are
+    assert "license-units" not in shuffles and shuffles["license-scores"] == 1
