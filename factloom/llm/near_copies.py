@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of five-word shingles: every pair that reaches 0.8 is linked, and no other.
+"""Near copies by SimHash, checked by the Jaccard similarity of five-word shingles: pairs that reach 0.8 are linked, and no others.
+
+First the SimHash fingerprints of the texts' shingles meet as in ``simhash.py``: by the popcounts of their segments,
+on the cells of the grid. Texts of fingerprints that differ in two bits at most are compared on their whole sets, and
+those that reach 0.8 are one part. Fingerprints alone lose pairs (README), so an exact check follows for all that are
+then still of different parts.
 
 The set of a text's shingle hashes is a fingerprint of 2^64 bits, of which 256 segments are counted: the Manhattan
 distance of two such counts is a lower bound of the number of differing bits, and a pair whose bound already rules a
@@ -6,7 +11,8 @@ similarity of 0.8 out goes no further. That is the segment-popcount embedding of
 instead of 64 voted bits, which cannot tell all such pairs (README). Pairs meet by a prefix filter, which loses none:
 two sets of that similarity share a member among their first s - ceil(0.8 s) + 1 of s members, in any order that is
 the same for all texts. Members that a sample of the texts holds often go last, so that few texts meet on a common
-one; the sample changes the work, never the result. Pairs left are compared on their whole sets.
+one; the sample changes the work, never the result. The place of a shared member bounds what two texts share from it on,
+which the first that they share must leave possible. Pairs left are compared on their whole sets.
 
 Texts with equal sets are one node before. Groups of many near copies are not compared pair by pair: as long as there
 is much to compare, texts that meet on a member are compared with one of them, a hub, and linked texts are one part;
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm._common import bitmap_of, held_in, join_counted, no_null, scratch, ship, staged
 from factloom.llm.components import connected_components
+from factloom.llm.simhash import fingerprint_of_set, grid_links
 
 SHINGLE = 5
 SEED = 42
@@ -80,7 +87,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(docs: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(id, hashed, node, size, bins, prefix) for every row; docs has the columns id and text."""
+    """(id, hashed, node, fp, size, bins, prefix) for every row; docs has the columns id and text."""
     kind = docs.schema["id"].dataType.simpleString()
     kept = docs.select("id", F.xxhash64("text").alias("hashed"), "text")
 
@@ -89,11 +96,11 @@ def _nodes(docs: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in batch.column(2)]
             prefixes = pa.array([_prefix(s, common, times) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(_bins, sets), pa.binary()), prefixes],
-                ["id", "hashed", "node", "size", "bins", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(map(_node, sets), pa.int64()), pa.array(map(fingerprint_of_set, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(_bins, sets), pa.binary()), prefixes],
+                ["id", "hashed", "node", "fp", "size", "bins", "prefix"],
             )
 
-    return kept.mapInArrow(run, f"id {kind}, hashed bigint, node bigint, size int, bins binary, prefix array<bigint>")
+    return kept.mapInArrow(run, f"id {kind}, hashed bigint, node bigint, fp bigint, size int, bins binary, prefix array<bigint>")
 
 
 #: Up to so many wanted texts are known by a broadcast of their hashes, more by a bitmap.
@@ -144,7 +151,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 _PAIR = ["u", "v", "pu", "pv"]
 #: Hubs are tried while pairs of different parts are more than so many for each row, in so many rounds at most.
-PAIRS_A_ROW, HUB_ROUNDS = 8, 3
+PAIRS_A_ROW, HUB_ROUNDS = 8, 4
 
 
 def _verified(spark: SparkSession, docs: DataFrame, marked: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -158,7 +165,7 @@ def _verified(spark: SparkSession, docs: DataFrame, marked: DataFrame, nodes: Da
 
 
 def _repeated(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(member, node, size, part): the prefix members that several nodes hold; each node is a part of its own."""
+    """(member, node, size, pos, part): the prefix members that several nodes hold, and their place; each node is a part of its own."""
     counts = nodes.select(F.explode("prefix").alias("member")).groupBy("member").agg(F.count("*").alias("n"))
     again = staged(spark, counts.where("n > 1"), "repeated-members")
     bitmap = spark.sparkContext.broadcast(bitmap_of(again.select("member")))
@@ -166,29 +173,42 @@ def _repeated(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            rows = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            lengths = np.asarray(lists.value_lengths())
+            rows = np.repeat(np.arange(batch.num_rows), lengths)
+            pos = (np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             members = np.asarray(lists.flatten(), np.int64)
             kept = held_in(bitmap.value, members)
             take = pa.array(rows[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(members[kept]), batch.column(0).take(take), batch.column(1).take(take)], ["member", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(members[kept]), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[kept])], ["member", "node", "size", "pos"])
 
-    some = staged(spark, nodes.select("node", "size", "prefix").mapInArrow(run, "member bigint, node bigint, size int"), "members")
-    return join_counted(some, again, ["member"], "n").select("member", "node", "size", F.col("node").alias("part"))
+    some = staged(spark, nodes.select("node", "size", "prefix").mapInArrow(run, "member bigint, node bigint, size int, pos int"), "members")
+    return join_counted(some, again, ["member"], "n").select("member", "node", "size", "pos", F.col("node").alias("part"))
 
 
-def _parted(spark: SparkSession, held: DataFrame, links: DataFrame, n: int) -> DataFrame:
-    """The rows of ``held`` with fewer parts: a part goes by the name of one that a link leads to, a hub's if it can.
+def _parted(spark: SparkSession, held: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``held`` with fewer parts: a part goes by the name of the largest that a link leads to, if that is larger.
 
     One step only: parts with one name are linked through it, so a part always lies in one component, and that is
     all that is asked of parts.
     """
-    both = links.select(F.col("pu").alias("part"), F.col("pv").alias("new")).unionByName(links.select(F.col("pv").alias("part"), F.col("pu").alias("new")))
-    # of all that it is linked to and itself the least in this round's order, in which a hub comes before all it meets
-    order = lambda name: F.struct(F.xxhash64(name, F.lit(n)).alias("h"), F.col(name).alias("to"))
-    least = both.groupBy("part").agg(F.min(order("new")).alias("b")).select("part", F.least(F.col("b"), order("part"))["to"].alias("new"))
-    counts = held.groupBy("part").agg(F.count("*").alias("n"))
-    moves = staged(spark, counts.join(least, "part", "left").select("part", "n", F.coalesce("new", "part").alias("new")), "moves")
-    return staged(spark, join_counted(held, moves, ["part"], "n").select("member", "node", "size", F.col("new").alias("part")), "shared")
+    counts = staged(spark, held.groupBy("part").agg(F.count("*").alias("n")), "part-sizes")
+    both = links.select(F.col("pu").alias("part"), F.col("pv").alias("new")).unionByName(links.select(F.col("pv").alias("part"), F.col("pu").alias("new"))).distinct()
+    led = both.join(counts.select(F.col("part").alias("new"), F.col("n").alias("new_n")), "new")
+    most = led.groupBy("part").agg(F.max(F.struct(F.col("new_n").alias("n"), F.col("new").alias("to"))).alias("b"))
+    own = F.struct("n", F.col("part").alias("to"))
+    moves = staged(spark, counts.join(most, "part", "left").select("part", "n", F.greatest("b", own)["to"].alias("new")), "moves")
+    return staged(spark, join_counted(held, moves, ["part"], "n").select("member", "node", "size", "pos", F.col("new").alias("part")), "shared")
+
+
+def _near_fingerprints(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(u, v, pu, pv): pairs of nodes to compare by their fingerprints: the least node of one with its others, and the
+    least nodes of two that differ in two bits at most."""
+    points = staged(spark, nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "points")
+    same = join_counted(nodes.select("node", "fp"), points, ["fp"], "n").where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    links = staged(spark, grid_links(points.select("fp")), "near-points")
+    a, b = (points.select(F.col("fp").alias(x), F.col("rep").alias(to)) for x, to in (("a", "u"), ("b", "v")))
+    near = links.join(a, "a").join(b, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return same.unionByName(near).select("u", "v", F.col("u").alias("pu"), F.col("v").alias("pv"))
 
 
 def _links(spark: SparkSession, docs: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -196,10 +216,14 @@ def _links(spark: SparkSession, docs: DataFrame, marked: DataFrame, nodes: DataF
     with scratch(spark) as made:
         shared = staged(spark, _repeated(spark, nodes), "shared")
         made.keep()
-    found = None
+    with scratch(spark) as made:
+        found = _verified(spark, docs, marked, nodes, _near_fingerprints(spark, nodes))
+        made.keep()
+        shared = _parted(spark, shared, found)
+        made.keep()
     for n in range(HUB_ROUNDS + 1):
         links, shared, last = _round(spark, docs, marked, nodes, shared, n)
-        found = links if found is None else found.unionByName(links)
+        found = found.unionByName(links)
         if last:
             break
     return found.select("u", "v")
@@ -211,25 +235,27 @@ def _round(spark: SparkSession, docs: DataFrame, marked: DataFrame, nodes: DataF
         # members on which texts of different parts meet; the largest part of a member meets only the others
         parts, n_ = shared.groupBy("member", "part").agg(F.count("*").alias("n")), F.col("n").cast("double")
         cross = parts.groupBy("member").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "part")).alias("most"), (F.sum(n_) * F.sum(n_) - F.sum(n_ * n_)).alias("pairs")).where("pairs > 0")
-        cross = staged(spark, cross.select("member", "rows", F.col("most.part").alias("major"), "pairs"), "cross")
+        cross = staged(spark, cross.select("member", "rows", F.col("most.part").alias("major"), F.col("most.n").alias("major_rows"), "pairs"), "cross")
         row = cross.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
         last = n == HUB_ROUNDS or (row["pairs"] or 0) <= 2 * PAIRS_A_ROW * (row["rows"] or 0)
-        held = staged(spark, join_counted(shared, cross, ["member"], "rows").select("member", "node", "size", "part", (F.col("part") == F.col("major")).alias("in_major")), "held")
+        held = staged(spark, join_counted(shared, cross, ["member"], "rows").select("member", "node", "size", "pos", "part", (F.col("part") == F.col("major")).alias("in_major"), "major_rows", "rows"), "held")
         if last:
-            u, v = (held.select("member", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("part").alias(f"p{x}"), F.col("in_major").alias(f"m{x}")) for x in "uv")
+            u, v = (held.select("member", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"i{x}"), F.col("part").alias(f"p{x}"), F.col("in_major").alias(f"m{x}")) for x in "uv")
             met = u.where("not mu").join(v, "member").where("pu != pv and (mv or u < v)")
         else:
-            first = F.min(F.struct(F.xxhash64("part", F.lit(n)).alias("h"), F.xxhash64("node").alias("k"), "node", "size", "part"))
-            hubs = held.groupBy("member").agg(first.alias("hub"), F.count("*").alias("rows"))
-            met = join_counted(held, staged(spark, hubs, "hubs"), ["member"], "rows").where("part != hub.part")
-            met = met.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), F.col("size").alias("su"), F.col("hub.size").alias("sv"), F.col("part").alias("pu"), F.col("hub.part").alias("pv"))
-        met = met.where("5 * least(su, sv) >= 4 * greatest(su, sv)").withColumn("turn", F.expr("u > v"))
+            # of a member's largest part, four times as many texts each round: only the texts of other parts are compared with them
+            some = F.col("in_major") & (F.pmod(F.xxhash64("node", F.lit(n)), F.greatest(F.lit(1), F.col("major_rows") / 4**n).cast("bigint")) == 0)
+            hubs = held.where(some).select("member", F.struct("node", "size", "pos", "part").alias("hub"), "rows")
+            met = join_counted(held.where("not in_major").drop("rows"), staged(spark, hubs, "hubs"), ["member"], "rows")
+            met = met.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), F.col("size").alias("su"), F.col("hub.size").alias("sv"), F.col("pos").alias("iu"), F.col("hub.pos").alias("iv"), F.col("part").alias("pu"), F.col("hub.part").alias("pv"))
+        # the first member that a pair shares has all that it shares at or after it; a pair that reaches 0.8 passes there
+        met = met.where("5 * least(su, sv) >= 4 * greatest(su, sv) and 9 * least(su - iu, sv - iv) >= 4 * (su + sv)").withColumn("turn", F.expr("u > v"))
         ends = [F.expr(f"if(turn, {y}, {x})").alias(name) for name, x, y in (("u", "u", "v"), ("v", "v", "u"), ("pu", "pu", "pv"), ("pv", "pv", "pu"))]
         links = _verified(spark, docs, marked, nodes, met.select(*ends).distinct())
         made.keep()
         if not last:
             # parts only grow, so a member on which no different parts meet is done with
-            shared = _parted(spark, held, links, n)
+            shared = _parted(spark, held, links)
             made.keep()
         return links, shared, last
 
@@ -245,7 +271,7 @@ def near_copy_components(spark: SparkSession, docs: DataFrame, id_col: str = "do
     with scratch(spark) as made:
         whole = staged(spark, _nodes(kept, *_frequent(kept)), "whole")
         marked = staged(spark, whole.select("id", "hashed", "node"), "marked")
-        nodes = staged(spark, whole.select("node", "size", "bins", "prefix").dropDuplicates(["node"]), "nodes")
+        nodes = staged(spark, whole.select("node", "fp", "size", "bins", "prefix").dropDuplicates(["node"]), "nodes")
         made.keep(1)
     with scratch(spark) as made:
         parts = connected_components(spark, _links(spark, kept, marked, nodes))

@@ -66,6 +66,14 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of_set(hashes: np.ndarray) -> int:
+    """The SimHash of distinct shingle hashes, as a signed long; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): the id column and the fingerprint as a signed long, for every row."""
     kept = docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text"))

@@ -98,3 +98,34 @@ def test_columns_and_empty_tables(spark):
     out = near_copies.near_copy_dedup(spark, docs)
     assert out.columns == docs.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "None"]
     assert near_copies.near_copy_dedup(spark, docs.limit(0)).count() == 0
+
+
+def test_texts_meet_by_fingerprints_on_the_grid_first(spark, monkeypatch):
+    words = [f"w{n}" for n in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1500], "x", *words[1500:]])), (3, " ".join(f"v{n}" for n in range(3000)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = near_copies._nodes(docs.withColumnRenamed("doc_id", "id"), *near_copies._frequent(docs)).collect()
+    assert [0 < (a.fp ^ b.fp).bit_count() <= 2 for a, b in ((nodes[0], nodes[1]), (nodes[0], nodes[2]))] == [True, False]
+
+    def none(spark, docs, marked, nodes, shared, n):
+        return spark.createDataFrame([], "u bigint, v bigint, pu bigint, pv bigint"), shared, True
+
+    monkeypatch.setattr(near_copies, "_round", none)
+    assert sorted(r.doc_id for r in near_copies.near_copy_dedup(spark, docs).collect()) == kept_by_jaccard(rows) == [1, 3]
+
+
+def test_a_shared_passage_alone_makes_no_pairs(spark, monkeypatch):
+    """Texts with so many words of their own that what is left from their first shared member on cannot reach 0.8."""
+    passage = " ".join(f"w{n}" for n in range(85))
+    rows = [(n, passage + " " + " ".join(f"x{n}y{k}" for k in range(15))) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    compared, verified = [], near_copies._verified
+
+    def counted(spark, docs, marked, nodes, pairs):
+        compared.append(pairs.count())
+        return verified(spark, docs, marked, nodes, pairs)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    assert sorted(r.doc_id for r in near_copies.near_copy_dedup(spark, docs).collect()) == kept_by_jaccard(rows)
+    assert sum(compared) < 60
