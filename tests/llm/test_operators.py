@@ -395,6 +395,23 @@ def test_repeated_strings(spark, docs, clashing, rows):
     assert any(0 < x[2] < x[1] for x in expected)
 
 
+def test_removed_spans_and_kept_bytes_are_returned(spark, tmp_path):
+    from factloom.llm import queries
+
+    passage = " ".join(f"word{n}" for n in range(100))
+    n = len(passage)
+    # é and © end in the same byte, which is repeated with the passage: what is kept is no text
+    texts = ["é" + passage, "one ©" + passage + " tail", passage[:399], passage[1:401] + "." + passage[-400:], "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = [[(1, n + 2)], [(5, n + 6)], [], [(0, 400), (401, 801)], [], []]
+    kept = [b"\xc3", b"one \xc2 tail", passage[:399].encode(), b".", b"", b""]
+    got = {r.id: r for r in repeats.without_repeats(spark, table).collect()}
+    assert len(got) == 6 and all([tuple(s) for s in got[k].spans] == spans[k] and got[k].kept == kept[k] for k in range(6))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = [(k, *x, ",".join(f"{a}:{b}" for a, b in spans[k])) for k, x in enumerate(_removed(texts, 400))]
+    same(queries.op6_repeated_strings(spark, str(tmp_path)), expected)
+
+
 def test_repeats_inside_one_long_text(spark):
     got = repeats.repeated_strings(spark, spark.createDataFrame([(1, "ab" * 5000), (2, "x" * 1_300_000)], "doc_id bigint, text string")).collect()
     assert {(r.id, r.n_removed, r.n_spans) for r in got} == {(1, 10_000, 1), (2, 1_300_000, 1)}
